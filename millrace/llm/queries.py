@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, simhash, warc
 
 QUERIES = {
+    "op2_simhash": simhash.op2,
     "op3_mix_sources": mixing.op3,
     "op10_warc": warc.op10,
 }
