@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,35 @@ def fresh(taken: list[str], *names: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+class Scratch:
+    """Tables written to the shared folder between the steps of one operator, removed at the end.
+
+    ``keep`` writes Parquet (compressed, with sizes that the planner sees) and reads it back, which cuts lineage like
+    a checkpoint: a lost executor costs a re-read. Shuffle files of steps that are over are released on the way.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove_path(self.spark, self.path)
+        release(self.spark)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        schema = df.schema
+        release(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that finished steps' shuffles are unused; it removes their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
