@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, substrings, warc
+from . import langid, mixing, simhash, substrings, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2,
     "op3_mix_sources": mixing.op3,
+    "op4_langid": langid.op4,
     "op6_substrings": substrings.op6,
     "op10_warc": warc.op10,
 }
