@@ -11,10 +11,13 @@ sequence that also starts in a document with a smaller id. Windows are judged on
    caps) from their ends. (Spark rounds that hand out names through a shuffle would move all word positions in every
    round; names taken from the content need none.)
 2. *Interior symbols.* Of the whole blocks in a window's interior the one with the least name stands for the window,
-   extended by ``margin`` words on both sides, which the window contains too. So equal windows have equal symbols, one
-   for some 15 windows. A window whose interior is part of one long run stands for itself.
-3. *Shared symbols.* A Spark aggregate finds the symbols of two documents or more. Only windows that such a symbol
-   stands for are verified: their 128-bit hashes are reduced to the smallest document, and rows above it go.
+   extended by ``margin`` words on both sides, which the window contains too. So equal windows have equal symbols.
+   Consecutive windows with one symbol are a unit, some 20 of them; a unit's span is all words of its windows. A window
+   whose interior is part of one long run stands for itself.
+3. *Shared symbols.* A Spark aggregate finds the symbols of two documents or more, about a tenth. Units of equal symbol
+   and span go in all documents but the smallest. Where a symbol has several spans, as at the ends of a shared passage,
+   the smallest document of each span has its windows verified one by one: their 128-bit hashes are reduced to the
+   smallest document, and windows of others go. (A window of any other document is in one of these too.)
 
 Copies of a whole word sequence are found first by 128-bit hashes; only their smallest document goes on, so groups of
 copies of any size cost one row each. Aggregates are partial before each shuffle, and the joins back to documents are
@@ -40,7 +43,9 @@ from .common import Scratch, fresh, settle, table
 from .wordhash import Sequences, U, Words, mix, slices, texts_of
 
 WIDTH = 50
-CAPS = (1, 1, 2, 2, 3)
+CAPS = (1, 1, 2)
+#: Places of marks that stand for all windows of a unit and for a whole document.
+UNIT, WHOLE = -1, -2
 _BASES = (0xD6E8FEB86659FD93 & ~7 | 5, 0xA0761D6478BD642F & ~7 | 5)
 
 
@@ -87,6 +92,13 @@ class Parsed:
         end = np.where(of >= 0, starts[block + 1] + margin, head + width) if len(of) else of
         self.symbol = self.one(begin, end)
         self.symbol_row = self.row[change]
+        last = np.r_[np.flatnonzero(change)[1:], len(window)][: len(head)] - 1
+        self.span = self.two(head, window[last] + width)
+        self.in_unit = window - head[self.unit] if len(window) else window
+
+    def keys(self) -> np.ndarray:
+        """One number for each unit's symbol and span."""
+        return self.symbol ^ self.span
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.window[at]
@@ -134,86 +146,107 @@ def _symbols(width: int, caps: tuple[int, ...]):
                 parsed = Parsed(words.hash, words.first, width, caps)
                 h1, h2 = _whole(words.hash, words.first)
                 cuts = np.searchsorted(parsed.symbol_row, np.arange(j - i + 1)).astype(np.int32)
-                symbols = pa.ListArray.from_arrays(pa.array(cuts), _signed(parsed.symbol))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(words.first)), _signed(h1), _signed(h2), symbols], names=["doc", "n", "h1", "h2", "symbols"])
+                symbols, spans = (pa.ListArray.from_arrays(pa.array(cuts), _signed(x)) for x in (parsed.symbol, parsed.span))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(words.first)), _signed(h1), _signed(h2), symbols, spans], names=["doc", "n", "h1", "h2", "symbols", "spans"])
 
     return run
 
 
+def _salted(lists: pa.ListArray, rows: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """A salt for each row; the items of all rows' lists, and their rows."""
+    owner = np.repeat(np.arange(rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return mix(np.arange(1, rows + 1, dtype=U)), lists.flatten(), owner
+
+
 def _windows(width: int, caps: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, words in _sliced(batch, 1):
-                parsed, (h1, _) = Parsed(words.hash, words.first, width, caps), _whole(words.hash, words.first)
-                shared = batch.column(3)[i:j]
-                lists = shared.flatten().to_numpy(zero_copy_only=False).view(U)
-                owner = np.repeat(np.arange(j - i), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                salt = mix(np.arange(1, j - i + 1, dtype=U))
-                hit = np.isin(parsed.symbol ^ salt[parsed.symbol_row], lists ^ salt[owner])
-                hit &= (h1.view(np.int64) == batch.column(2)[i:j].to_numpy(zero_copy_only=False))[parsed.symbol_row]
+                parsed = Parsed(words.hash, words.first, width, caps)
+                salt, wanted, owner = _salted(batch.column(2)[i:j], j - i)
+                key = parsed.keys()
+                hit = np.isin(key ^ salt[parsed.symbol_row], wanted.to_numpy(zero_copy_only=False).view(U) ^ salt[owner])
                 at = np.flatnonzero(hit[parsed.unit]) if len(hit) else np.zeros(0, np.int64)
                 a, b = parsed.hashes(at)
                 doc = batch.column(0)[i:j].to_numpy(zero_copy_only=False)[parsed.row[at]]
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(doc, pa.int64()), _signed(h1[parsed.row[at]]), pa.array(parsed.place[at].astype(np.int32))], names=["w1", "w2", "doc", "h1", "place"])
+                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(doc, pa.int64()), _signed(key[parsed.unit[at]]), pa.array(parsed.in_unit[at].astype(np.int32))], names=["w1", "w2", "doc", "key", "place"])
 
     return run
 
 
-def _keep(width: int):
+def _keep(width: int, caps: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
-            total, gone, kept = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
-            for k in range(rows):
-                text = batch.column(1)[k].as_py()
-                words = (text or b"").split()
-                total[k] = len(words)
-                marks = batch.column(2)[k]
-                if marks.is_valid and len(words) >= width:
-                    stay = _stay(text, len(words), marks.values, width)
-                    gone[k] = len(words) - stay.sum()
-                    words = compress(words, stay.tolist())
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(gone), pa.array(kept, pa.binary())], names=["row", "n_words", "n_removed", "kept"])
+            data, offsets = texts_of(batch.column(1))
+            for i, j in slices(offsets):
+                texts = [bytes(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
+                total, gone, kept = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
+                marks = batch.column(2)[i:j]
+                marked = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
+                stay = dict(zip(marked.tolist(), _stay([texts[k] for k in marked], marks.take(pa.array(marked)), width, caps), strict=True))
+                for k, text in enumerate(texts):
+                    words = text.split()
+                    total[k] = len(words)
+                    if k in stay:
+                        gone[k] = len(words) - stay[k].sum()
+                        words = compress(words, stay[k].tolist())
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(total), pa.array(gone), pa.array(kept, pa.binary())], names=["row", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _stay(text: bytes, n: int, marks: pa.StructArray, width: int) -> np.ndarray:
-    """Which words stay. Marks of another row with the same id are told apart by the text's hash."""
-    data = np.frombuffer(text, np.uint8)
-    words = Words(data, np.array([0, len(data)]))
-    own = _whole(words.hash, words.first)[0].view(np.int64)[0]
-    of, place = marks.field(0).to_numpy(zero_copy_only=False), marks.field(1).to_numpy(zero_copy_only=False)
-    place = place[of == own]
-    if (place < 0).any():
-        return np.zeros(n, bool)
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, place, 1)
-    np.add.at(depth, place + width, -1)
-    return np.cumsum(depth[:-1]) == 0
+def _stay(texts: list[bytes], marks: pa.ListArray, width: int, caps: tuple[int, ...]) -> list[np.ndarray]:
+    """Which words of each text stay. Marks name content, so those of another row with the same id do no harm."""
+    if not texts:
+        return []
+    bounds = np.cumsum([0, *map(len, texts)])
+    words = Words(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    parsed, whole = Parsed(words.hash, words.first, width, caps), _whole(words.hash, words.first)[0]
+    salt, items, owner = _salted(marks, len(texts))
+    key, place = (items.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    key = key.view(U) ^ salt[owner]
+    unit = parsed.keys() ^ salt[parsed.symbol_row]
+    out = np.isin(unit, key[place == UNIT])[parsed.unit] if len(unit) else np.zeros(0, bool)
+    single = place >= 0
+    out |= np.isin(mix(unit[parsed.unit] + parsed.in_unit.astype(U)), mix(key[single] + place[single].astype(U)))
+    depth = np.zeros(len(words.hash) + 1, np.int64)
+    at = parsed.window[out]
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + width, -1)
+    stay = np.cumsum(depth[:-1]) == 0
+    copies = np.isin(whole ^ salt, key[place == WHOLE])
+    return [np.zeros(b - a, bool) if copy else stay[a:b] for a, b, copy in zip(words.first[:-1], words.first[1:], copies, strict=True)]
 
 
 def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
-    """``doc, marks``: per id the windows that repeat an earlier document, as structs of text hash and first word.
+    """``doc, marks``: per id what repeats an earlier document, as structs ``key, place``.
 
-    A place of -1 stands for all words: the whole sequence is that of an earlier document.
+    A place from 0 is a window of the unit that the key names, -1 the whole unit, and -2 the whole text, the key then
+    being its hash.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).filter("doc IS NOT NULL")
-    parsed = scratch.keep(rows.mapInArrow(_symbols(width, caps), "doc long, n long, h1 long, h2 long, symbols array<long>"))
+    parsed = scratch.keep(rows.mapInArrow(_symbols(width, caps), "doc long, n long, h1 long, h2 long, symbols array<long>, spans array<long>"))
     plain = parsed.select("doc", "n", "h1", "h2")
     first = plain.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"))
     copies = scratch.keep(plain.join(first, ["h1", "h2", "n"]).filter((F.col("first") < F.col("doc")) & (F.col("n") >= width)).select("doc", "h1").distinct())
-    alone = parsed.join(copies, ["doc", "h1"], "left_anti")
-    symbols = scratch.keep(alone.select("doc", "h1", F.explode("symbols").alias("symbol")))
-    shared = symbols.groupBy("symbol").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("symbol")
-    lists = symbols.join(shared, "symbol").groupBy("doc", "h1").agg(F.collect_set("symbol").alias("shared"))
-    wanted = rows.join(lists, "doc").select("doc", "text", "h1", "shared")
-    windows = scratch.keep(wanted.mapInArrow(_windows(width, caps), "w1 long, w2 long, doc long, h1 long, place int"))
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    later = windows.join(least, ["w1", "w2"]).filter("first < doc").select("doc", "h1", "place")
-    marks = later.unionByName(copies.withColumn("place", F.lit(-1)))
-    return scratch.keep(marks.groupBy("doc").agg(F.collect_list(F.struct("h1", "place")).alias("marks")))
+    symbols = parsed.select("doc", "h1", F.explode("symbols").alias("symbol"))
+    shared = symbols.groupBy("symbol").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("symbol")
+    units = parsed.select("doc", "h1", F.explode(F.arrays_zip("symbols", "spans")).alias("unit")).select("doc", "h1", F.col("unit.symbols").alias("symbol"), F.col("unit.spans").alias("span"))
+    units = units.join(shared, "symbol").join(copies, ["doc", "h1"], "left_anti").select("doc", "symbol", "span")
+    units = scratch.keep(units)
+    least = units.groupBy("symbol", "span").agg(F.min("doc").alias("first"))
+    least = scratch.keep(least)
+    several = least.groupBy("symbol").agg(F.count("*").alias("spans")).filter("spans > 1").select("symbol")
+    key = F.col("symbol").bitwiseXOR(F.col("span")).alias("key")
+    later = units.join(least, ["symbol", "span"]).filter("first < doc").select("doc", key, F.lit(UNIT).alias("place"))
+    ends = least.join(several, "symbol", "left_semi").select(F.col("first").alias("doc"), key)
+    wanted = rows.join(ends.groupBy("doc").agg(F.collect_set("key").alias("keys")), "doc").select("doc", "text", "keys")
+    windows = scratch.keep(wanted.mapInArrow(_windows(width, caps), "w1 long, w2 long, doc long, key long, place int"))
+    lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    single = windows.join(lowest, ["w1", "w2"]).filter("first < doc").select("doc", "key", "place")
+    marks = later.union(single).union(copies.select("doc", "h1", F.lit(WHOLE)))
+    return scratch.keep(marks.groupBy("doc").agg(F.collect_set(F.struct("key", "place")).alias("marks")))
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
@@ -223,7 +256,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("doc"))
     joined = rows.join(marks, "doc", "left").select("row", "text", "marks")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_keep(width), f"row {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return joined.mapInArrow(_keep(width, caps), f"row {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def corpus(rng, width):
     return docs
 
 
-@pytest.mark.parametrize(("width", "caps", "seed"), [(50, substrings.CAPS, 1), (12, (1, 1, 2), 2), (12, (1, 2), 3)])
+@pytest.mark.parametrize(("width", "caps", "seed"), [(50, substrings.CAPS, 1), (12, (1, 1, 2), 2), (20, (1, 1, 2, 2), 4), (12, (1, 2), 3)])
 def test_matches_brute_force(spark, width, caps, seed):
     docs = corpus(random.Random(seed), width)
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, marks long").repartition(5)
