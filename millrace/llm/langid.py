@@ -167,7 +167,7 @@ def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars
     return {k: sorted(v) for k, v in out.items()}
 
 
-def _predict(shared, sharpness: float):
+def _predict(shared, sharpness: float, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -186,7 +186,9 @@ def _predict(shared, sharpness: float):
                 score += got[1]
                 bits += got[2]
                 i = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["row", "lang_pred", "score", "bits"])
+            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), texts]
+            columns = columns if keep_text else columns[:-1]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "bits", "text"][: len(columns)])
 
     return run
 
@@ -203,15 +205,21 @@ def _choose(model: Model | None, texts: list[bytes | None], sharpness: float) ->
     return lang, score, bits
 
 
-def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sample_chars: int = 3000, max_languages: int = 64, sharpness: float = 8.0) -> DataFrame:
-    """``row`` (a struct of all columns but the text, as c0, c1 ...), ``lang_pred, score, bits`` for every document."""
+def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sample_chars: int = 3000, max_languages: int = 64, sharpness: float = 8.0, keep_text: bool = False) -> DataFrame:
+    """``row`` (a struct of all columns but the text, as c0, c1 ...), ``lang_pred, score, bits`` for every document, and its ``text`` if asked for."""
     learned = docs.filter(learn_from) if learn_from is not None else docs
     samples = sample(learned, text, lang, sample_docs, sample_chars, max_languages)
     shared = docs.sparkSession.sparkContext.broadcast(train(samples, max_order, max_contexts))
     rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").cast("binary").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared, sharpness), f"row {kind}, lang_pred string, score double, bits double")
+    return rows.mapInArrow(_predict(shared, sharpness, keep_text), f"row {kind}, lang_pred string, score double, bits double" + ", text binary" * keep_text)
+
+
+def in_known_language(docs: DataFrame, text: str = "text", lang: str = "lang", **params) -> DataFrame:
+    """The rows of ``docs`` that are in some learned language: all but ``und``. Columns stay as they are."""
+    found = identify(docs, None, text, lang, keep_text=True, **params).filter("lang_pred <> 'und'")
+    return found.select(*[F.col("text").cast("string").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash, substrings, warc
+from . import decontam, langid, mixing, simhash, substrings, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2,
     "op3_mix_sources": mixing.op3,
     "op4_langid": langid.op4,
+    "op5_decontaminate": decontam.op5,
     "op6_substrings": substrings.op6,
     "op10_warc": warc.op10,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op6_substrings": substrings.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }

@@ -219,12 +219,17 @@ def _stay(texts: list[bytes], marks: pa.ListArray, width: int, caps: tuple[int,
     return [np.zeros(b - a, bool) if copy else stay[a:b] for a, b, copy in zip(words.first[:-1], words.first[1:], copies, strict=True)]
 
 
-def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
     """``doc, marks``: per id what repeats an earlier document, as structs ``key, place``.
 
     A place from 0 is a window of the unit that the key names, -1 the whole unit, and -2 the whole text, the key then
     being its hash.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return settle(_repeats(docs, scratch, doc_id, text, width, caps))
+
+
+def _repeats(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, width: int, caps: tuple[int, ...]) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).filter("doc IS NOT NULL")
     parsed = scratch.keep(rows.mapInArrow(_symbols(width, caps), "doc long, n long, h1 long, h2 long, symbols array<long>, spans array<long>"))
     plain = parsed.select("doc", "n", "h1", "h2")
@@ -246,12 +251,12 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     single = windows.join(lowest, ["w1", "w2"]).filter("first < doc").select("doc", "key", "place")
     marks = later.union(single).union(copies.select("doc", "h1", F.lit(WHOLE)))
-    return scratch.keep(marks.groupBy("doc").agg(F.collect_set(F.struct("key", "place")).alias("marks")))
+    return marks.groupBy("doc").agg(F.collect_set(F.struct("key", "place")).alias("marks"))
 
 
-def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, caps: tuple[int, ...] = CAPS) -> DataFrame:
     """``row`` (a struct of all columns but the text), ``n_words, n_removed, kept`` (kept words joined by a space)."""
-    marks = repeats(docs, scratch, doc_id, text, width, caps)
+    marks = repeats(docs, doc_id, text, width, caps)
     rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("doc"))
     joined = rows.join(marks, "doc", "left").select("row", "text", "marks")
@@ -259,7 +264,47 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     return joined.mapInArrow(_keep(width, caps), f"row {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, **params) -> DataFrame:
+    """``docs`` with repeated passages cut out of the text. A text that loses nothing stays as it is, white space included.
+
+    ``n_chars`` names a column that is set to the new length in characters where a text changes.
+    """
+    rest = {c: f"row.c{i}" for i, c in enumerate(docs.columns)}
+    (own,) = fresh(docs.columns, "_text")
+    found = without_repeats(docs.withColumn(own, F.col(text)), doc_id, own, **params)
+    cut = F.col("n_removed") > 0
+
+    def column(c):
+        if c == text:
+            return F.when(cut, F.col("kept")).otherwise(F.col(rest[c]))
+        if c == n_chars:
+            return F.when(cut, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(rest[c]))
+        return F.col(rest[c])
+
+    return found.select(*[column(c).alias(c) for c in docs.columns])
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
-    with Scratch(spark) as scratch:
-        out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
-        return settle(out.select(F.col("row.c0").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("row.c0").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 49, 0)::BIGINT + 1)) AS p FROM d
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h FROM starts
+), hits AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS f FROM windows) WHERE f < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p + i AS q FROM hits, range(0, 50) o(i)
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS q FROM d
+), kept AS (
+  SELECT words.doc_id, count(*) AS k, string_agg(w, ' ' ORDER BY words.q) AS t FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.q = gone.q GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

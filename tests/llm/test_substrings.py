@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from millrace.llm import substrings
-from millrace.llm.common import Scratch
 from millrace.llm.wordhash import Words
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,8 +50,7 @@ def corpus(rng, width):
 def test_matches_brute_force(spark, width, caps, seed):
     docs = corpus(random.Random(seed), width)
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, marks long").repartition(5)
-    with Scratch(spark) as scratch:
-        rows = substrings.without_repeats(df, scratch, width=width, caps=caps).collect()
+    rows = substrings.without_repeats(df, width=width, caps=caps).collect()
     got = {r["row"].c2: (r["row"].c0, r.n_words, r.n_removed, r.kept) for r in rows}
     assert [got[k] for k in range(len(docs))] == brute(docs, width)
 
@@ -73,8 +71,7 @@ def test_interior_blocks_agree_in_equal_windows():
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    with Scratch(spark) as scratch:
-        assert substrings.without_repeats(df, scratch).collect() == []
+    assert substrings.without_repeats(df).collect() == []
 
 
 def test_words_match_a_regex():
@@ -92,3 +89,11 @@ def test_digest_is_over_kept_words(spark, tmp_path):
     spark.createDataFrame([(1, " a  b\nc ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     row = substrings.op6(spark, str(tmp_path)).first()
     assert tuple(row) == (1, 3, 0, hashlib.sha256(b"a b c").hexdigest())
+
+
+def test_drop_repeats_changes_only_what_it_cuts(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, long, 0, "k"), (2, "x  y\n" + long + " z", 5, None), (3, " a  b ", 6, "row"), (4, None, None, None), (5, long, 9, "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, kept string")
+    got = sorted(map(tuple, substrings.drop_repeats(df, n_chars="n_chars").collect()))
+    assert got == [docs[0], (2, "x y z", 5, None), docs[2], docs[3], (5, "", 0, "c")]
