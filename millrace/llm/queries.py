@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, simhash, substrings, warc
+from . import decontam, langid, mixing, simhash, substrings, warc, wordpiece
 
 QUERIES = {
     "op2_simhash": simhash.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_langid": langid.op4,
     "op5_decontaminate": decontam.op5,
     "op6_substrings": substrings.op6,
+    "op7_token_counts": wordpiece.op7,
     "op10_warc": warc.op10,
 }
 
