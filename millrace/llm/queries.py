@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, simhash, substrings, warc, wordpiece
+from . import ann, decontam, langid, mixing, simhash, substrings, warc, wordpiece
 
 QUERIES = {
+    "op1_nearest": ann.op1,
     "op2_simhash": simhash.op2,
     "op3_mix_sources": mixing.op3,
     "op4_langid": langid.op4,
