@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, mixing, simhash, substrings, warc, wordpiece
+from . import ann, decontam, langid, mixing, simhash, substrings, warc, webtext, wordpiece
 
 QUERIES = {
     "op1_nearest": ann.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontam.op5,
     "op6_substrings": substrings.op6,
     "op7_token_counts": wordpiece.op7,
+    "op8_main_text": webtext.op8,
     "op10_warc": warc.op10,
 }
 
