@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, mixing, simhash, substrings, warc, webtext, wordpiece
+from . import ann, decontam, langid, mixing, quality, simhash, substrings, warc, webtext, wordpiece
 
 QUERIES = {
     "op1_nearest": ann.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substrings": substrings.op6,
     "op7_token_counts": wordpiece.op7,
     "op8_main_text": webtext.op8,
+    "op9_quality": quality.op9,
     "op10_warc": warc.op10,
 }
 
