@@ -1,4 +1,309 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators, each over its whole tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tdigest as td
+from ..operators.aggregate import Agg, aggregate
+from ..operators.asof import Bounds, Keys, asof_join
+from ..operators.filter import filter_rows
+from ..operators.merge import sorted_merge
+from ..operators.pipes import Pipes
+from ..operators.pivot import Template, pivot_longer
+from ..operators.relational import fetch, join, order_by, project, union
+from ..operators.write import WriteOptions, write
+from ..ordering import OrderedFrame, Ordering, SortKey
+from ..sources.files import scan
+from .registry import Declaration
+
+HOUR = 3_600_000_000  # microseconds
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return scan(spark, f"{sf_dir}/{name}.parquet").df
+
+
+def _events(spark, sf_dir, kind: str, *columns: str) -> OrderedFrame:
+    df = _read(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+    return OrderedFrame.implicit(df.select("event_id", "ts", "user_id", *columns), by=["event_id"])
+
+
+def _named(frame: OrderedFrame, prefix: str) -> OrderedFrame:
+    """Payload columns under names of their own; keys keep theirs."""
+    return project(frame, {"ts": F.col("ts"), "user_id": F.col("user_id"), f"{prefix}_id": F.col("event_id"), f"{prefix}_ts": F.col("ts"), f"{prefix}_value": F.col("value")})
+
+
+_KEY = Keys("ts", ("user_id",))
+
+
+def _asof(bounds: Bounds | int, right: str = "click", validate: str = "off"):
+    def query(spark, sf_dir):
+        left = _events(spark, sf_dir, "purchase", "value")
+        other = _named(_events(spark, sf_dir, right, "value"), "r")
+        return asof_join(left, other, [_KEY, _KEY], bounds, validate=validate).df
+
+    return query
+
+
+def asof_multi_right(spark, sf_dir):
+    left = _events(spark, sf_dir, "purchase", "value")
+    rights = [_named(_events(spark, sf_dir, kind, "value"), kind) for kind in ("click", "view")]
+    return asof_join(left, rights, [_KEY] * 3, Bounds(-24 * HOUR, 0), validate="off").df
+
+
+def asof_no_key(spark, sf_dir):
+    """Each error with the latest signup of any user: no by-key, so time buckets keep it parallel."""
+    left = _events(spark, sf_dir, "error", "value")
+    right = _named(_events(spark, sf_dir, "signup", "value"), "r").df.drop("user_id")
+    return asof_join(left, OrderedFrame.implicit(right, by=["r_id"]), [Keys("ts"), Keys("ts")], Bounds(-6 * HOUR, 0), validate="off").df
+
+
+def _asof_orders(bounds: Bounds, null_keys: bool = False):
+    """Orders of one customer and day repeat; the tie rules decide. Without by-key when keys are all null."""
+
+    def query(spark, sf_dir):
+        orders = _read(spark, sf_dir, "orders")
+        key = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None)).otherwise(F.col("o_custkey") % 500) if null_keys else F.col("o_custkey") % 500
+        rows = orders.select("o_orderkey", key.alias("k"), "o_orderdate", "o_orderstatus")
+        left = OrderedFrame.implicit(rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"), by=["o_orderkey"])
+        right = rows.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("r_key"), "k", "o_orderdate")
+        keys = Keys("o_orderdate", ("k",))
+        return asof_join(left, OrderedFrame.implicit(right, by=["r_key"]), [keys, keys], bounds, validate="off").df
+
+    return query
+
+
+def merge_sorted(spark, sf_dir):
+    frames = [_events(spark, sf_dir, kind, "event_type", "value") for kind in ("click", "view", "purchase")]
+    return sorted_merge(frames, Ordering.explicit("ts")).df
+
+
+def filter_not_null(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("tax"), "l_quantity")
+    return filter_rows(OrderedFrame.unordered(rows), F.col("l_quantity") > 10, not_null=["tax"]).df
+
+
+def pivot_long(spark, sf_dir):
+    rows = OrderedFrame.unordered(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"))
+    templates = [Template([F.lit(n), F.lit(i).cast("long")], [m]) for i, (n, m) in enumerate([("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("none", None)])]
+    return pivot_longer(rows, templates, ["kind", "number"], ["measurement"]).df
+
+
+def _money(c: str):
+    return F.col(c).cast("decimal(12,2)")
+
+
+def agg_scalar(spark, sf_dir):
+    rows = project(OrderedFrame.unordered(_read(spark, sf_dir, "lineitem")), {"q": _money("l_quantity"), "p": _money("l_extendedprice"), "flag": F.col("l_returnflag")})
+    out = aggregate(rows, [Agg("sum", "q", "sum_q"), Agg("min", "p", "min_p"), Agg("max", "p", "max_p"), Agg("count_all", None, "n"), Agg("count_distinct", "flag", "flags")]).df
+    return out.select(F.col("sum_q").cast("double").alias("sum_q"), F.col("min_p").cast("double").alias("min_p"), F.col("max_p").cast("double").alias("max_p"), "n", "flags")
+
+
+def agg_grouped(spark, sf_dir):
+    rows = project(OrderedFrame.unordered(_read(spark, sf_dir, "lineitem")), {"l_returnflag": F.col("l_returnflag"), "l_linestatus": F.col("l_linestatus"), "q": _money("l_quantity"), "line": F.col("l_linenumber")})
+    out = aggregate(rows, [Agg("sum", "q", "sum_q"), Agg("sum", "line", "sum_line"), Agg("count", "q", "n"), Agg("max", "line", "max_line")], keys=["l_returnflag", "l_linestatus"]).df
+    return out.withColumn("sum_q", F.col("sum_q").cast("double"))
+
+
+def _all_events(spark, sf_dir) -> OrderedFrame:
+    return OrderedFrame.implicit(_read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), by=["event_id"])
+
+
+def agg_segmented(spark, sf_dir):
+    return aggregate(_all_events(spark, sf_dir), [Agg("count_all", None, "n"), Agg("first", "event_id", "first_id"), Agg("last", "event_id", "last_id"), Agg("max", "value", "max_value")], segment_keys=["event_type"]).df
+
+
+def agg_segmented_keyed(spark, sf_dir):
+    rows = project(_all_events(spark, sf_dir), {"day": F.to_date("ts"), "event_type": F.col("event_type"), "event_id": F.col("event_id")})
+    return aggregate(rows, [Agg("count_all", None, "n"), Agg("sum", "event_id", "sum_id")], keys=["event_type"], segment_keys=["day"]).df
+
+
+def agg_first_last(spark, sf_dir):
+    return aggregate(_all_events(spark, sf_dir), [Agg("first", "value", "first_value"), Agg("last", "value", "last_value")], keys=["user_id"]).df
+
+
+def tdigest_rank_error(spark, sf_dir):
+    """Whether the digest's quantiles per event type are within half a percent of their rank."""
+    rows = _read(spark, sf_dir, "events").select("event_type", "value")
+    q = (0.01, 0.1, 0.5, 0.9, 0.99)
+    found = td.tdigest(rows, ["event_type"], "value", td.Options(q=q)).select("event_type", F.posexplode("quantiles").alias("i", "x"))
+    ranks = rows.join(F.broadcast(found), "event_type").groupBy("event_type", "i").agg(F.avg((F.col("value") <= F.col("x")).cast("int")).alias("r"))
+    want = F.element_at(F.array(*[F.lit(x) for x in q]), F.col("i") + 1)
+    return ranks.select("event_type", F.col("i").cast("int").alias("i"), (F.abs(F.col("r") - want) < 0.005).alias("close"))
+
+
+def tdigest_small_groups(spark, sf_dir):
+    """Exact where a group has few values: each nation's suppliers, minimum, maximum and count by digests."""
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey"), "s_acctbal")
+    digests = td.digest_map(rows, ["s_nationkey"], "s_acctbal")
+    out = td.quantile_elementwise(digests, "digest", "q", td.Options(q=(0.0, 1.0)))
+    weight = F.aggregate("digest.centroids", F.lit(0.0), lambda n, c: n + c["weight"])
+    return out.select("s_nationkey", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), weight.cast("long").alias("n"))
+
+
+def approximate_median(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
+    out = td.approximate_median(rows, ["l_returnflag"], "l_quantity")
+    exact = rows.groupBy("l_returnflag").agg(F.median("l_quantity").alias("exact"))
+    return out.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("median") - F.col("exact")) <= 1).alias("close"))
+
+
+def pipe_tee(spark, sf_dir):
+    pipes = Pipes()
+    kept = pipes.tee(_all_events(spark, sf_dir), "events", persist=False)
+    high = filter_rows(pipes.source("events"), F.col("value") > 100)
+    return union(kept, high).df
+
+
+def pipe_fetch(spark, sf_dir):
+    """A limit on one branch leaves the other whole."""
+    pipes = Pipes()
+    kept = pipes.tee(_all_events(spark, sf_dir), "events", persist=False)
+    return union(fetch(kept, 5, 10), pipes.source("events")).df.select("event_id")
+
+
+def write_roundtrip(spark, sf_dir):
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/millrace-{uuid.uuid4().hex}"
+    rows = project(_all_events(spark, sf_dir), {"event_id": F.col("event_id"), "value": F.col("value"), "event_type": F.col("event_type")})
+    write(rows, WriteOptions(path, partitioning=["event_type"], max_rows_per_file=5000))
+    return scan(spark, path).df
+
+
+def declared_plan(spark, sf_dir):
+    """Scan, filter and aggregate as one declaration."""
+    return Declaration.sequence(
+        Declaration("scan", {"spark": spark, "path": f"{sf_dir}/lineitem.parquet"}),
+        Declaration("filter", {"predicate": F.col("l_quantity") > 25}),
+        Declaration("aggregate", {"aggregates": [Agg("sum", "l_linenumber", "total"), Agg("count_all", None, "n")], "keys": ["l_returnflag"]}),
+    ).frame().df
+
+
+def join_null_safe(spark, sf_dir):
+    nation = OrderedFrame.unordered(_read(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") != 3, F.col("n_nationkey")).alias("k")))
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("k"))
+    return join(OrderedFrame.unordered(supplier), nation, ["k"], null_safe=True, broadcast_rows=10_000).df
+
+
+def top_orders(spark, sf_dir):
+    rows = OrderedFrame.implicit(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), by=["o_orderkey"])
+    return fetch(order_by(rows, SortKey("o_totalprice", False, "last")), 10, 25).df
+
+
+QUERIES = {
+    "asof_backward": _asof(Bounds(-24 * HOUR, 0)),
+    "asof_forward": _asof(Bounds.tolerance(24 * HOUR)),
+    "asof_nearest_earlier": _asof(Bounds(-12 * HOUR, 12 * HOUR, True)),
+    "asof_nearest_later": _asof(Bounds(-12 * HOUR, 12 * HOUR, False)),
+    "asof_shifted": _asof(Bounds(-36 * HOUR, -2 * HOUR)),
+    "asof_validated": _asof(Bounds(-24 * HOUR, 0), "view", "eager"),
+    "asof_multi_right": asof_multi_right,
+    "asof_no_key": asof_no_key,
+    "asof_duplicates_last": _asof_orders(Bounds(-30 * 24 * HOUR, 0)),
+    "asof_duplicates_first": _asof_orders(Bounds(0, 30 * 24 * HOUR)),
+    "asof_null_keys": _asof_orders(Bounds(-5 * 24 * HOUR, 5 * 24 * HOUR), True),
+    "sorted_merge": merge_sorted,
+    "filter_not_null": filter_not_null,
+    "pivot_longer": pivot_long,
+    "agg_scalar": agg_scalar,
+    "agg_grouped": agg_grouped,
+    "agg_segmented": agg_segmented,
+    "agg_segmented_keyed": agg_segmented_keyed,
+    "agg_first_last": agg_first_last,
+    "tdigest_rank_error": tdigest_rank_error,
+    "tdigest_small_groups": tdigest_small_groups,
+    "tdigest_median": approximate_median,
+    "pipe_tee": pipe_tee,
+    "pipe_fetch": pipe_fetch,
+    "write_roundtrip": write_roundtrip,
+    "declared_plan": declared_plan,
+    "join_null_safe": join_null_safe,
+    "top_orders": top_orders,
+}
+
+
+def _events_sql(lower: int, upper: int, right: str = "click", earlier: bool = True) -> str:
+    """Range join and rank, by the tie rules."""
+    side = "CASE WHEN r.ts < l.ts THEN 0 ELSE 1 END" if earlier else "CASE WHEN r.ts < l.ts THEN 1 ELSE 0 END"
+    gap = "epoch_us(r.ts) - epoch_us(l.ts)"
+    order = "r.ts DESC, r.event_id DESC" if upper <= 0 else f"abs({gap}), {side}, CASE WHEN r.ts < l.ts THEN -r.event_id ELSE r.event_id END"
+    return f"""
+SELECT l.event_id, l.ts, l.user_id, l.value, m.r_id, m.r_ts, m.r_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+LEFT JOIN (
+  SELECT l.event_id, r.event_id AS r_id, r.ts AS r_ts, r.value AS r_value, row_number() OVER (PARTITION BY l.event_id ORDER BY {order}) AS k
+  FROM events l JOIN events r ON l.user_id = r.user_id AND {gap} BETWEEN {lower} AND {upper}
+  WHERE l.event_type = 'purchase' AND r.event_type = '{right}'
+) m ON l.event_id = m.event_id AND m.k = 1"""
+
+
+def _orders_sql(lower: int, upper: int, nulls: bool = False) -> str:
+    key = "CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey % 500 END" if nulls else "o_custkey % 500"
+    gap = "epoch_us(r.o_orderdate) - epoch_us(l.o_orderdate)"
+    order = "r.o_orderdate DESC, r.o_orderkey DESC" if upper <= 0 else f"abs({gap}), CASE WHEN r.o_orderdate < l.o_orderdate THEN 0 ELSE 1 END, CASE WHEN r.o_orderdate < l.o_orderdate THEN -r.o_orderkey ELSE r.o_orderkey END"
+    return f"""
+WITH o AS (SELECT o_orderkey, {key} AS k, o_orderdate, o_orderstatus FROM orders)
+SELECT l.o_orderkey, l.k, l.o_orderdate, m.r_key
+FROM (SELECT * FROM o WHERE o_orderstatus = 'F') l
+LEFT JOIN (
+  SELECT l.o_orderkey, r.o_orderkey AS r_key, row_number() OVER (PARTITION BY l.o_orderkey ORDER BY {order}) AS n
+  FROM o l JOIN o r ON l.k IS NOT DISTINCT FROM r.k AND {gap} BETWEEN {lower} AND {upper}
+  WHERE l.o_orderstatus = 'F' AND r.o_orderstatus = 'O'
+) m ON l.o_orderkey = m.o_orderkey AND m.n = 1"""
+
+
+ORACLE_SQL = {
+    "asof_backward": f"""
+SELECT l.event_id, l.ts, l.user_id, l.value,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {24 * HOUR} THEN r.event_id END AS r_id,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {24 * HOUR} THEN r.ts END AS r_ts,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {24 * HOUR} THEN r.value END AS r_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+    "asof_forward": _events_sql(0, 24 * HOUR),
+    "asof_nearest_earlier": _events_sql(-12 * HOUR, 12 * HOUR),
+    "asof_nearest_later": _events_sql(-12 * HOUR, 12 * HOUR, earlier=False),
+    "asof_shifted": _events_sql(-36 * HOUR, -2 * HOUR),
+    "asof_validated": _events_sql(-24 * HOUR, 0, "view"),
+    "asof_multi_right": f"""
+WITH c AS ({_events_sql(-24 * HOUR, 0, "click")}), v AS ({_events_sql(-24 * HOUR, 0, "view")})
+SELECT c.event_id, c.ts, c.user_id, c.value, c.r_id AS click_id, c.r_ts AS click_ts, c.r_value AS click_value, v.r_id AS view_id, v.r_ts AS view_ts, v.r_value AS view_value
+FROM c JOIN v ON c.event_id = v.event_id""",
+    "asof_no_key": f"""
+SELECT l.event_id, l.ts, l.user_id, l.value,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {6 * HOUR} THEN r.event_id END AS r_id,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {6 * HOUR} THEN r.ts END AS r_ts,
+  CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {6 * HOUR} THEN r.value END AS r_value
+FROM (SELECT * FROM events WHERE event_type = 'error') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r ON l.ts >= r.ts""",
+    "asof_duplicates_last": _orders_sql(-30 * 24 * HOUR, 0),
+    "asof_duplicates_first": _orders_sql(0, 30 * 24 * HOUR),
+    "asof_null_keys": _orders_sql(-5 * 24 * HOUR, 5 * 24 * HOUR, True),
+    "sorted_merge": "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_type IN ('click', 'view', 'purchase')",
+    "filter_not_null": "SELECT l_orderkey, l_linenumber, l_tax AS tax, l_quantity FROM lineitem WHERE l_quantity > 10 AND l_returnflag <> 'R' AND l_tax IS NOT NULL",
+    "pivot_longer": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, kind, number::BIGINT AS number, CASE number WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice WHEN 2 THEN l_discount END AS measurement FROM lineitem, (VALUES ('quantity', 0), ('price', 1), ('discount', 2), ('none', 3)) t(kind, number)",
+    "agg_scalar": "SELECT sum(l_quantity::DECIMAL(12,2))::DOUBLE AS sum_q, min(l_extendedprice::DECIMAL(12,2))::DOUBLE AS min_p, max(l_extendedprice::DECIMAL(12,2))::DOUBLE AS max_p, count(*) AS n, count(DISTINCT l_returnflag) AS flags FROM lineitem",
+    "agg_grouped": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS sum_q, sum(l_linenumber)::BIGINT AS sum_line, count(l_quantity) AS n, max(l_linenumber) AS max_line FROM lineitem GROUP BY ALL",
+    "agg_segmented": """
+WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS o FROM events),
+s AS (SELECT *, sum(o) OVER (ORDER BY event_id) AS seg FROM c)
+SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, max(value) AS max_value FROM s GROUP BY seg, event_type""",
+    "agg_segmented_keyed": """
+WITH d AS (SELECT event_id, event_type, ts::DATE AS day FROM events),
+c AS (SELECT *, CASE WHEN lag(day) OVER (ORDER BY event_id) IS NOT DISTINCT FROM day AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS o FROM d),
+s AS (SELECT *, sum(o) OVER (ORDER BY event_id) AS seg FROM c)
+SELECT day, event_type, count(*) AS n, sum(event_id)::BIGINT AS sum_id FROM s GROUP BY seg, day, event_type""",
+    "agg_first_last": "SELECT user_id, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value FROM events GROUP BY user_id",
+    "tdigest_rank_error": "SELECT event_type, i::INTEGER AS i, true AS close FROM (SELECT DISTINCT event_type FROM events), range(0, 5) t(i)",
+    "tdigest_small_groups": "SELECT s_nationkey, min(s_acctbal) AS low, max(s_acctbal) AS high, count(*) AS n FROM supplier GROUP BY s_nationkey",
+    "tdigest_median": "SELECT DISTINCT l_returnflag, true AS close FROM lineitem",
+    "pipe_tee": "SELECT event_id, ts, user_id, event_type, value FROM events UNION ALL SELECT event_id, ts, user_id, event_type, value FROM events WHERE value > 100",
+    "pipe_fetch": "SELECT event_id FROM events UNION ALL (SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 5)",
+    "write_roundtrip": "SELECT event_id, value, event_type FROM events",
+    "declared_plan": "SELECT l_returnflag, sum(l_linenumber)::BIGINT AS total, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag",
+    "join_null_safe": "WITH n AS (SELECT n_name, CASE WHEN n_nationkey <> 3 THEN n_nationkey END AS k FROM nation), s AS (SELECT s_suppkey, CASE WHEN s_nationkey <> 3 THEN s_nationkey END AS k FROM supplier) SELECT s.s_suppkey, s.k, n.n_name FROM s JOIN n ON s.k IS NOT DISTINCT FROM n.k",
+    "top_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 10",
+}
