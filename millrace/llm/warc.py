@@ -6,7 +6,7 @@ Writing. A page's payload is its html in UTF-8. Rows with equal payloads (SHA-1
 the rows, and adaptive execution splits that join where a group is hot. Records go through Spark's own text writer,
 so any store works, files appear only when a task commits, and a lost task is written again.
 
-Reading. The text reader cuts the files at ``\\r\\n\\r\\nWARC/1.0\\r\\n``. A piece is only a *candidate* record, since
+Reading. The text reader cuts the files at the magic ``WARC/1.0\\r\\n``. A piece is only a *candidate* record, since
 a payload may hold the same bytes. Tasks give each candidate its offset and, by its Content-Length, the offset of its
 successor. Offsets count from the start of the split that a task reads; sums over the splits before it make them
 absolute, so that large uncompressed files are read in parallel. Pointer jumping from offset 0 doubles the known part
@@ -84,7 +84,8 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 50_000,
 
 
 _FIELDS = "type string, id long, bytes long, sha string, refers long, length long"
-_CANDIDATE = f"file string, split long, start long, stop long, succ long, whole boolean, {_FIELDS}, raw binary"
+_PLACE = "file string, split long, start long"
+_CANDIDATE = f"{_PLACE}, stop long, succ long, whole boolean, {_FIELDS}"
 
 
 def _header(piece: bytes) -> tuple[int, dict[bytes, bytes]] | None:
@@ -118,40 +119,44 @@ def _describe(fields: dict[bytes, bytes], block: bytes) -> dict:
     return out
 
 
+def _pieces(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[str, int, int, int, bytes]]:
+    """File, split, offset of the magic and of the next one (both from the split's start), and content of each piece."""
+    for file, split, value in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+        piece = value.as_py() or b""
+        if state.get("now") != (file, split):
+            state["now"], state["at"] = (file, split), 0
+        begin = state["at"]
+        state["at"] += len(piece) + len(MAGIC)
+        if split or begin:
+            yield file, split, begin - len(MAGIC), state["at"], piece
+        elif piece:  # the first piece of a file is what comes before the first magic
+            raise ValueError(f"{file} does not begin with a record")
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("succ", pa.int64()), ("whole", pa.bool_()), ("type", pa.string()), ("id", pa.int64()), ("bytes", pa.int64()), ("sha", pa.string()), ("refers", pa.int64()), ("length", pa.int64()), ("raw", pa.binary())])
-    now, at = None, 0
+    schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("succ", pa.int64()), ("whole", pa.bool_()), ("type", pa.string()), ("id", pa.int64()), ("bytes", pa.int64()), ("sha", pa.string()), ("refers", pa.int64()), ("length", pa.int64())])
+    state: dict = {}
     for batch in batches:
         rows = []
-        for file, split, value in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-            piece = value.as_py() or b""
-            if (file, split) != now:
-                now, at = (file, split), 0
-            begin, size = at, len(piece)
-            if split == 0 and at == 0 and piece.startswith(MAGIC):
-                piece = piece[len(MAGIC) :]
-                begin = len(MAGIC)
-            at += size + len(END) + len(MAGIC)
-            row = {"file": file, "split": split, "start": begin - len(MAGIC), "stop": at}
+        for file, split, start, stop, piece in _pieces(batch, state):
+            row = {"file": file, "split": split, "start": start, "stop": stop, "whole": False}
             if found := _header(piece):
                 body, fields = found
                 length = int(fields[b"content-length"])
-                row["succ"] = begin + body + length + len(END)
-                block = piece[body:]
-                if len(block) == length + len(END) and block.endswith(END):  # the last piece of a file
-                    block = block[:-4]
-                row["whole"] = len(block) == length
-                if row["whole"]:
-                    row |= _describe(fields, block)
-            if not row.get("whole"):
-                row["whole"], row["raw"] = False, piece
+                row["succ"] = start + len(MAGIC) + body + length + len(END)
+                if len(piece) == body + length + len(END) and piece.endswith(END):
+                    row |= _describe(fields, piece[body : body + length]) | {"whole": True}
             rows.append(row)
-            if len(rows) >= 512:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("start", pa.int64()), ("raw", pa.binary())])
+    state: dict = {}
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist([{"file": f, "split": s, "start": at, "raw": piece} for f, s, at, _, piece in _pieces(batch, state)], schema)
+
+
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records whose payload holds the separator, from their pieces in order."""
     schema = pa.schema([("type", pa.string()), ("id", pa.int64()), ("bytes", pa.int64()), ("sha", pa.string()), ("refers", pa.int64()), ("length", pa.int64())])
@@ -159,7 +164,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for value in batch[0]:
             pieces = [x["raw"] for x in sorted(value.as_py(), key=lambda x: x["start"])]
-            found = _header(whole := (END + MAGIC).join(pieces))
+            found = _header(whole := MAGIC.join(pieces))
             if not found:
                 raise ValueError("a reachable record has no valid header")
             body, fields = found
@@ -189,30 +194,35 @@ def reachable(nodes: DataFrame, step: int = 4) -> DataFrame:
     return known
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, broadcast_pieces: int = 50_000) -> DataFrame:
     """One row per record: ``type, id, bytes, sha, refers, length``."""
-    text = spark.read.option("lineSep", (END + MAGIC).decode()).text(path)
+    text = spark.read.option("lineSep", MAGIC.decode()).text(path)
     pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
     found = settle(pieces.mapInArrow(_candidates, _CANDIDATE))
     # a file has few splits; sums over those before give each one's place
     splits = found.groupBy("file", "split").agg(F.max("stop").alias("stop"))
     before = F.sum("stop").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("file", "split", F.coalesce(before, F.lit(0)).alias("base"))
-    found = found.join(splits, ["file", "split"]).withColumn("start", F.col("start") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base")).drop("base", "stop", "split")
-    found = settle(found)
+    splits = settle(splits.select("file", "split", F.coalesce(before, F.lit(0)).alias("base")))
+    found = found.join(splits, ["file", "split"]).withColumn("start", F.col("start") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
+    found = settle(found.withColumn("stop", F.col("stop") + F.col("base")).drop("base", "split"))
     known = reachable(found.select("file", "start", "succ")).withColumn("known", F.lit(True))
     marked = found.join(known, ["file", "start"], "left")
+    ends = marked.groupBy("file").agg(F.max(F.when(F.col("known"), F.col("succ"))).alias("chain"), (F.max("stop") - len(MAGIC)).alias("end"))
+    broken = ends.filter(~F.col("chain").eqNullSafe(F.col("end"))).first()
+    if broken is not None:
+        raise ValueError(f"{broken['file']} ends inside a record")
     good = marked.filter("known AND whole").select("type", "id", "bytes", "sha", "refers", "length")
     # what is left is rare: records with the separator in their payload, and the pieces that follow them
-    rest = marked.filter("NOT whole OR known IS NULL")
     owner = F.last(F.when(F.col("known"), F.col("start")), ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
-    rest = _with_raw(rest).withColumn("owner", owner).filter("owner IS NOT NULL")
-    rest = rest.groupBy("file", "owner").agg(F.collect_list(F.struct("start", "raw")).alias("pieces"))
-    return good.unionByName(rest.select("pieces").mapInArrow(_rebuild, _FIELDS))
-
-
-def _with_raw(rest: DataFrame) -> DataFrame:
-    return rest.select("file", "start", "known", "raw")
+    rest = marked.filter("known IS NULL OR NOT whole").select("file", "start", "known").withColumn("owner", owner).filter("owner IS NOT NULL")
+    rest = settle(rest.select("file", "start", "owner"))
+    if rest.isEmpty():
+        return good
+    # only now are contents read again; a long list of pieces is joined by a shuffle
+    small = rest.limit(broadcast_pieces + 1).count() <= broadcast_pieces
+    placed = pieces.mapInArrow(_contents, f"{_PLACE}, raw binary").join(splits, ["file", "split"]).withColumn("start", F.col("start") + F.col("base"))
+    joined = placed.join(F.broadcast(rest) if small else rest, ["file", "start"]).groupBy("file", "owner").agg(F.collect_list(F.struct("start", "raw")).alias("pieces"))
+    return good.unionByName(joined.select("pieces").mapInArrow(_rebuild, _FIELDS))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
