@@ -100,6 +100,14 @@ class Parsed:
         """One number for each unit's symbol and span."""
         return self.symbol ^ self.span
 
+    def distinct_units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, symbol and span of units, each once in a row: a text that repeats itself has many equal ones."""
+        order = np.lexsort((self.span, self.symbol, self.symbol_row))
+        row, symbol, span = self.symbol_row[order], self.symbol[order], self.span[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (symbol[1:] != symbol[:-1]) | (span[1:] != span[:-1])
+        return row[first], symbol[first], span[first]
+
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.window[at]
         return self.one(begin, begin + self.width), self.two(begin, begin + self.width)
@@ -145,8 +153,9 @@ def _symbols(width: int, caps: tuple[int, ...]):
             for i, j, words in _sliced(batch, 1):
                 parsed = Parsed(words.hash, words.first, width, caps)
                 h1, h2 = _whole(words.hash, words.first)
-                cuts = np.searchsorted(parsed.symbol_row, np.arange(j - i + 1)).astype(np.int32)
-                symbols, spans = (pa.ListArray.from_arrays(pa.array(cuts), _signed(x)) for x in (parsed.symbol, parsed.span))
+                row, symbol, span = parsed.distinct_units()
+                cuts = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                symbols, spans = (pa.ListArray.from_arrays(pa.array(cuts), _signed(x)) for x in (symbol, span))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(words.first)), _signed(h1), _signed(h2), symbols, spans], names=["doc", "n", "h1", "h2", "symbols", "spans"])
 
     return run
@@ -237,6 +246,7 @@ def _repeats(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, width: i
     copies = scratch.keep(plain.join(first, ["h1", "h2", "n"]).filter((F.col("first") < F.col("doc")) & (F.col("n") >= width)).select("doc", "h1").distinct())
     symbols = parsed.select("doc", "h1", F.explode("symbols").alias("symbol"))
     shared = symbols.groupBy("symbol").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("symbol")
+    shared = scratch.keep(shared)  # a table of its own: joins with it can be split where one symbol is hot
     units = parsed.select("doc", "h1", F.explode(F.arrays_zip("symbols", "spans")).alias("unit")).select("doc", "h1", F.col("unit.symbols").alias("symbol"), F.col("unit.spans").alias("span"))
     units = units.join(shared, "symbol").join(copies, ["doc", "h1"], "left_anti").select("doc", "symbol", "span")
     units = scratch.keep(units)
@@ -249,6 +259,7 @@ def _repeats(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, width: i
     wanted = rows.join(ends.groupBy("doc").agg(F.collect_set("key").alias("keys")), "doc").select("doc", "text", "keys")
     windows = scratch.keep(wanted.mapInArrow(_windows(width, caps), "w1 long, w2 long, doc long, key long, place int"))
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    lowest = scratch.keep(lowest)
     single = windows.join(lowest, ["w1", "w2"]).filter("first < doc").select("doc", "key", "place")
     marks = later.union(single).union(copies.select("doc", "h1", F.lit(WHOLE)))
     return marks.groupBy("doc").agg(F.collect_set(F.struct("key", "place")).alias("marks"))
