@@ -234,7 +234,7 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embed
     distinct = settle(few.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
     shards = max(1, -(-distinct.count() // shard_rows))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).select("shard", "v", "ids")
-    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard")
     return settle(dealt.mapInArrow(_build(links, breadth), _INDEX))
 
 
@@ -274,7 +274,7 @@ def search(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards if shards is not None else 0)))
     whole = index.select("shard", F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"), F.struct("dim", "entry", "level", "near", "width", "vectors", "ids").alias("index"))
     asked = ask.select(everywhere.alias("shard"), "query", "v").withColumn("index", F.lit(None).cast(whole.schema["index"].dataType))
-    together = whole.unionByName(asked).repartitionByRange((shards or 0) + 1, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
+    together = whole.unionByName(asked).repartitionById((shards or 0) + 1, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
     found = together.mapInArrow(_search(k, links, breadth), "query long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     ranked = found.withColumn("rank", best).filter(F.col("rank") <= k)
