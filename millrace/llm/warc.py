@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remove_path, settle, shared_dir, table
+from .common import release, remove_path, settle, shared_dir, table
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -191,6 +191,7 @@ def reachable(nodes: DataFrame, step: int = 4) -> DataFrame:
         then = jump.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
         jump = settle(jump.join(then, ["file", "to"]).select("file", "start", F.col("further").alias("to")))
         n = known.count()
+        release(nodes.sparkSession)  # each round replaces the tables of the one before
     return known
 
 
