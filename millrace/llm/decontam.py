@@ -1,17 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are lower-cased and white space becomes single spaces; they are compared as UTF-8 bytes. Each benchmark item is
-cut into overlapping segments of ``length`` bytes (half a segment apart, the last at the item's end; a shorter item is
-one segment). A document is contaminated by an item if some part of it is within ``edits`` edits of a segment
-(proportionally fewer for a shorter one).
+cut into overlapping segments of ``length`` bytes (one from each byte on; a shorter item is one segment). A document is
+contaminated by an item if some part of it is within ``edits`` edits of a segment (proportionally fewer for a shorter
+one). So any ``length`` bytes of an item are found, wherever in the item they begin.
 
 Such a part shares at least ``length + 1 - q (edits + 1)`` q-grams with the segment, on diagonals (place in the document
 minus place in the segment) that differ by at most ``edits``. So
 
 1. a bit table tells which places of a document begin any q-gram of the benchmark, and stretches with too few are left;
-2. in the others q-grams shared with each segment are counted in overlapping bands of diagonals, each twice as wide as
-   the lemma needs, so that every match lies within one of them;
-3. bands that meet the bound are verified by alignment within the band, many at a time.
+2. in the others q-grams shared with each item are gathered in overlapping bands of diagonals, each twice as wide as
+   the lemma needs, so that every match lies within one of them; a window over a band's q-grams gives the segments that
+   hold enough of them;
+3. these segments are verified by alignment within the band, many at a time, until one of an item's is found.
 
 The filter loses nothing: any part within the edit budget meets both bounds. The benchmark is indexed on the driver in
 blocks of about ``block_chars`` characters and each block is broadcast; a larger benchmark takes more passes over the
@@ -59,34 +60,36 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    segments: list[bytes]
-    budget: np.ndarray  # edits allowed for each segment
+    bodies: list[bytes]  # distinct tidied items; their segments are the windows of ``size`` bytes
+    size: np.ndarray
+    budget: np.ndarray  # edits allowed for each segment of a body
     need: np.ndarray  # q-grams that a match shares at least
-    owners: list[list[int]]  # item ids of each segment
+    owners: list[list[int]]  # item ids of each body
+    step: int
     table: np.ndarray
     gram: np.ndarray  # sorted distinct q-grams
     head: np.ndarray  # of each q-gram's occurrences
-    segment: np.ndarray
+    body: np.ndarray
     place: np.ndarray
 
 
-def build(items: list[tuple[int, str | None]], length: int = 64, edits: int = 4, least: int = 24) -> Index:
+def build(items: list[tuple[int, str | None]], length: int = 64, edits: int = 4, least: int = 24, step: int | None = None) -> Index:
+    """``step`` is the distance of segments, half a segment if not given."""
     owners: dict[bytes, list[int]] = {}
     for item, text in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")):
         body = tidy(text)
         if item is None or len(body) < least:
             continue
-        last = max(0, len(body) - length)
-        for at in [*range(0, last, length // 2), last]:
-            own = owners.setdefault(body[at : at + length], [])
-            if not own or own[-1] != item:
-                own.append(item)
-    segments = sorted(owners)
-    budget = np.array([min(edits, len(s) * edits // length) for s in segments], np.int64)
-    need = np.array([len(s) + 1 - Q * (b + 1) for s, b in zip(segments, budget, strict=True)], np.int64)
+        own = owners.setdefault(body, [])
+        if not own or own[-1] != item:
+            own.append(item)
+    bodies = sorted(owners)
+    size = np.array([min(length, len(b)) for b in bodies], np.int64)
+    budget = np.minimum(edits, size * edits // length)
+    need = size + 1 - Q * (budget + 1)
     if len(need) and need.min() < 1:
         raise ValueError("the edit budget leaves no shared q-gram; allow fewer edits or longer items")
-    g = [grams(np.frombuffer(s, np.uint8)) for s in segments]
+    g = [grams(np.frombuffer(b, np.uint8)) for b in bodies]
     all_grams = np.concatenate(g) if g else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int64)
     place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
@@ -94,7 +97,7 @@ def build(items: list[tuple[int, str | None]], length: int = 64, edits: int = 4,
     gram, head = np.unique(all_grams[order], return_index=True)
     bits = np.zeros(1 << _BITS, bool)
     bits[_slot(gram)] = True
-    return Index(segments, budget, need, [owners[s] for s in segments], bits, gram, np.r_[head, len(order)], owner[order], place[order])
+    return Index(bodies, size, budget, need, [owners[b] for b in bodies], step or length // 2, bits, gram, np.r_[head, len(order)], owner[order], place[order])
 
 
 def hits(index: Index, text: bytes) -> list[int]:
@@ -104,14 +107,14 @@ def hits(index: Index, text: bytes) -> list[int]:
 def search(index: Index, texts: list[bytes]) -> list[list[int]]:
     """Sorted ids of the items that contaminate each text."""
     out: list[list[int]] = [[] for _ in texts]
-    if not index.segments:
+    if not index.bodies:
         return out
     data = np.frombuffer(b"\0".join(texts) + b"\0" * 2 * Q, np.uint8)  # no q-gram of an item has a zero
     end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     g = grams(data)
     maybe = index.table[_slot(g)]
     # a match of a segment of m bytes covers at most m + e bytes of the text
-    span = int((np.fromiter(map(len, index.segments), np.int64, len(index.segments)) + index.budget).max()) - Q + 1
+    span = int((index.size + index.budget).max()) - Q + 1
     count = np.r_[0, np.cumsum(maybe, dtype=np.int64)]
     full = np.flatnonzero(count[np.minimum(np.arange(len(g)) + span, len(g))] - count[:-1] >= index.need.min())
     if not len(full):
@@ -123,35 +126,63 @@ def search(index: Index, texts: list[bytes]) -> list[list[int]]:
     k = np.searchsorted(index.gram, g[at])
     real = (k < len(index.gram)) & (index.gram[np.minimum(k, len(index.gram) - 1)] == g[at])
     at, k = at[real], k[real]
-    for i in range(0, len(at), 1 << 17):  # q-grams may occur in many segments
+    for i in range(0, len(at), 1 << 17):  # q-grams may occur in many items
         # neighbouring pieces overlap, so that no match is cut
         stop = int(np.searchsorted(at, at[min(i + (1 << 17), len(at)) - 1] + 2 * span, "right"))
-        for text, segment in _verified(index, data, end, at[i:stop], k[i:stop]):
-            out[text] += index.owners[segment]
+        for text, body in _verified(index, data, end, at[i:stop], k[i:stop]):
+            out[text] += index.owners[body]
     return [sorted(set(x)) for x in out]
 
 
 def _verified(index: Index, data: np.ndarray, end: np.ndarray, at: np.ndarray, k: np.ndarray) -> set[tuple[int, int]]:
     n = index.head[k + 1] - index.head[k]
     entry = np.repeat(index.head[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    segment, diagonal = index.segment[entry], np.repeat(at, n) - index.place[entry]
+    body, place = index.body[entry], index.place[entry]
+    diagonal = np.repeat(at, n) - place
     wide = int(index.budget.max()) + 1
     low = int(diagonal.min(initial=0))
     band = (diagonal - low) // wide  # and the band before: each band is two of these wide
-    key = np.concatenate([np.stack([segment, band], 1), np.stack([segment, band - 1], 1)])
-    found, many = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, np.int64))
-    found = found[many >= index.need[found[:, 0]]] if len(found) else found
-    out: set[tuple[int, int]] = set()
-    for i in range(0, len(found), 2048):
-        part = found[i : i + 2048]
-        begin = part[:, 1] * wide + low
-        for size in np.unique([len(index.segments[s]) for s in part[:, 0]]):
-            own = np.array([len(index.segments[s]) == size for s in part[:, 0]])
-            seg = np.frombuffer(b"".join(index.segments[s] for s in part[own, 0]), np.uint8).reshape(-1, size)
-            good = aligned(seg, data, begin[own], 2 * wide, index.budget[part[own, 0]])
-            middle = np.clip(begin[own][good] + wide + size // 2, 0, end[-1] - 1)
-            out |= set(zip(np.searchsorted(end, middle, "right").tolist(), part[own, 0][good].tolist(), strict=True))
-    return out
+    body, band, place = np.r_[body, body], np.r_[band, band - 1], np.r_[place, place]
+    order = np.lexsort((place, band, body))
+    body, band, place = body[order], band[order], place[order]
+    # of each band, the segments that hold enough of its q-grams: ``need`` neighbours within a segment's reach
+    need = index.need[body]
+    first = np.flatnonzero(np.arange(len(body)) + need <= len(body))
+    last = first + need[first] - 1
+    reach = index.size[body[first]] - Q
+    good = (body[last] == body[first]) & (band[last] == band[first]) & (place[last] - place[first] <= reach)
+    first, last, reach = first[good], last[good], reach[good]
+    sizes = np.fromiter(map(len, index.bodies), np.int64, len(index.bodies))
+    final = (sizes - index.size)[body[first]]
+    lo, hi = np.maximum(place[last] - reach, 0), np.minimum(place[first], final)
+    if len(first):  # ranges of one band overlap; each begins and ends no sooner than the one before
+        same = (body[first[1:]] == body[first[:-1]]) & (band[first[1:]] == band[first[:-1]])
+        lo[1:] = np.where(same, np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+    m = np.maximum(hi - lo + 1, 0)
+    start = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    body, begin = np.repeat(body[first], m), np.repeat(band[first], m) * wide + low
+    on = (start % index.step == 0) | (start == np.repeat(final, m))
+    body, start, begin = body[on], start[on], begin[on] + start[on]
+    middle = np.clip(begin + wide + index.size[body] // 2, 0, end[-1] - 1)
+    pair = np.searchsorted(end, middle, "right") * len(index.bodies) + body
+    out = np.zeros(0, np.int64)
+    order = np.lexsort((start, pair))
+    size = np.bincount(np.unique(pair, return_inverse=True)[1]) if len(pair) else np.zeros(0, np.int64)
+    rank = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    turn = np.empty(len(pair), np.int64)
+    turn[order] = np.where(rank == np.repeat(size // 2, size), 0, 1 + (rank % 16 != 8))
+    # the middle segment of a pair settles most; then every sixteenth, then the others
+    for t in range(3):
+        left = np.flatnonzero((turn == t) & ~np.isin(pair, out))
+        for i in range(0, len(left), 2048):
+            part = left[i : i + 2048]
+            part = part[~np.isin(pair[part], out)]
+            for length in np.unique(index.size[body[part]]):
+                own = part[index.size[body[part]] == length]
+                seg = np.frombuffer(b"".join(index.bodies[b][s : s + length] for b, s in zip(body[own], start[own], strict=True)), np.uint8)
+                good = aligned(seg.reshape(-1, length), data, begin[own], 2 * wide, index.budget[body[own]])
+                out = np.union1d(out, pair[own[good]])
+    return {(int(x) // len(index.bodies), int(x) % len(index.bodies)) for x in out}
 
 
 def aligned(segments: np.ndarray, data: np.ndarray, begin: np.ndarray, width: int, budget: np.ndarray) -> np.ndarray:
@@ -192,7 +223,7 @@ def _scan(shared, keep_text: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False, block_chars: int = 4_000_000, **params) -> list[DataFrame]:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False, block_chars: int = 4_000_000, step: int = 1, **params) -> list[DataFrame]:
     """One frame per block of the benchmark: ``row`` (all columns but the text, as c0, c1 ...), ``items`` and, if asked for, ``text``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     blocks = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars + 1)
@@ -202,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = []
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = build([tuple(r) for r in part.collect()], **params)
+        index = build([tuple(r) for r in part.collect()], step=step, **params)
         out.append(rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index), keep_text), kind))
     return out
 

@@ -99,3 +99,35 @@ def test_finds_every_whole_item_in_the_documents(spark):
     for d, text in docs.items():
         exact = {i for i, b in bench.items() if b in text}
         assert exact <= got[d] and bool(exact) == bool(got[d])
+
+
+def test_excerpts_are_found_wherever_they_begin(spark):
+    rng = random.Random(11)
+    item = word_text(rng, 60)
+    body = decontam.tidy(item).decode()
+    docs = [(at, "zz " + body[at : at + 64] + " zz") for at in range(len(body) - 63) if len(body[at : at + 64].encode()) >= 64 and body[at] != " " != body[at + 63]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert len(docs) > 100 and decontam.decontaminate(df, bench).count() == 0
+
+
+def test_every_start_matches_the_full_table():
+    rng = random.Random(12)
+    items = [(i, word_text(rng, n)) for i, n in enumerate([6, 14, 22, 30])]
+    index = decontam.build(items, step=1)
+    texts = []
+    for k in range(40):
+        leak = decontam.tidy(items[k % 4][1]).decode()
+        at = rng.randint(0, max(0, len(leak) - 64))
+        texts.append(word_text(rng, 3) + " " + edited(rng, leak[at : at + rng.choice([58, 62, 66])], rng.choice([0, 2, 4, 6])) + " " + word_text(rng, 3))
+    want = []
+    for t in texts:
+        body, found = decontam.tidy(t), set()
+        for item, text in items:
+            b = decontam.tidy(text)
+            m = min(64, len(b))
+            if any(distance_inside(b[at : at + m], body) <= min(4, m * 4 // 64) for at in range(len(b) - m + 1)):
+                found.add(item)
+        want.append(sorted(found))
+    assert decontam.search(index, [decontam.tidy(t) for t in texts]) == want
+    assert 10 < sum(map(bool, want)) < 40
