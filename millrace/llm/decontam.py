@@ -16,7 +16,7 @@ minus place in the segment) that differ by at most ``edits``. So
 
 The filter loses nothing: any part within the edit budget meets both bounds. The benchmark is indexed on the driver in
 blocks of about ``block_chars`` characters and each block is broadcast; a larger benchmark takes more passes over the
-documents, not more memory. Documents are not shuffled unless there are several blocks.
+documents, not more memory. Documents are never shuffled: what is found goes along with its row.
 
 Nulls and edge cases: null or empty texts are clean; items that are null or shorter than ``least`` bytes after tidying
 are ignored, being too short to tell from ordinary text; items of equal text are all named; repeated rows get equal
@@ -27,14 +27,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import table
 
 Q = 8  # bytes: a q-gram is one 64-bit word
 _BITS = 22
@@ -223,35 +222,43 @@ def _scan(shared, keep_text: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False, block_chars: int = 4_000_000, step: int = 1, **params) -> list[DataFrame]:
-    """One frame per block of the benchmark: ``row`` (all columns but the text, as c0, c1 ...), ``items`` and, if asked for, ``text``."""
+def _indexes(spark, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000, step: int = 1, **params) -> list:
+    """A broadcast index for each block of the benchmark."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     blocks = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars + 1)
+    parts = (items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks))
+    return [spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], step=step, **params)) for part in parts]
+
+
+def _scanned(docs: DataFrame, shared, text: str, keep_text: bool) -> DataFrame:
     rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").cast("binary").alias("text"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, items array<long>" + ", text binary" * keep_text
-    out = []
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = build([tuple(r) for r in part.collect()], step=step, **params)
-        out.append(rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index), keep_text), kind))
-    return out
+    return rows.mapInArrow(_scan(shared, keep_text), kind)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep_text: bool = False, **params) -> list[DataFrame]:
+    """One frame per block of the benchmark: ``row`` (all columns but the text, as c0, c1 ...), ``items`` and, if asked for, ``text``."""
+    return [_scanned(docs, shared, text, keep_text) for shared in _indexes(docs.sparkSession, benchmark, **params)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns. One scan, chained over blocks."""
     names = docs.columns
-    passes = len(contamination(docs.limit(0), benchmark, text, **params))
-    for k in range(passes):
-        found = contamination(docs, benchmark, text, keep_text=True, **params)[k]
+    for shared in _indexes(docs.sparkSession, benchmark, **params):
+        found = _scanned(docs, shared, text, True)
         docs = found.filter(F.size("items") == 0).select(*[F.col("text").cast("string").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
     return docs
 
 
-def op5(spark, sf_dir: str) -> DataFrame:
-    """Per document its id, whether it is contaminated, and the items found in it."""
-    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    rows = reduce(DataFrame.unionByName, [f.select(F.col("row.c0").alias("doc_id"), "items") for f in found])
-    if len(found) > 1:  # documents are scanned once for each block of a large benchmark
-        rows = settle(rows.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
-    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+def op5(spark, sf_dir: str, block_chars: int = 4_000_000) -> DataFrame:
+    """Per document its id, whether it is contaminated, and the items found in it.
+
+    The items found so far go along with their row from block to block, so rows are never matched by id.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("items", F.array().cast("array<long>"))
+    for shared in _indexes(spark, table(spark, sf_dir, "benchmark"), block_chars=block_chars):
+        found = _scanned(docs, shared, "text", True)
+        items = F.array_sort(F.array_union("row.c2", "items")).alias("items")
+        docs = found.select(F.col("row.c0").alias("doc_id"), F.col("text").cast("string").alias("text"), items)
+    return docs.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")

@@ -131,3 +131,15 @@ def test_every_start_matches_the_full_table():
         want.append(sorted(found))
     assert decontam.search(index, [decontam.tidy(t) for t in texts]) == want
     assert 10 < sum(map(bool, want)) < 40
+
+
+def test_op5_keeps_every_row_over_several_blocks(spark, tmp_path):
+    rng = random.Random(13)
+    items = [(i, word_text(rng, 25)) for i in range(4)]
+    docs = [(None, items[1][1]), (None, word_text(rng, 40)), (None, None), (5, items[2][1] + " " + items[0][1]), (5, word_text(rng, 40)), (6, ""), (7, items[3][1]), (7, items[3][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = [(None, True, [1]), (None, False, []), (None, False, []), (5, True, [0, 2]), (5, False, []), (6, False, []), (7, True, [3]), (7, True, [3])]
+    for block_chars in (4_000_000, 150):
+        got = [tuple(r) for r in decontam.op5(spark, str(tmp_path), block_chars=block_chars).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
