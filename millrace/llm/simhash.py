@@ -230,7 +230,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows without an id cannot be named as a component's document and stay as they are.
     """
-    found = near_duplicates(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, **params)
+    return keep_first(docs, near_duplicates(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, **params), doc_id, text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id is their ``component_id`` in ``found``, repeats reduced to one, and those without id."""
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     key, same = fresh(docs.columns, "_kept", "_same")
     stay = docs.join(kept.withColumnRenamed("doc_id", key), F.col(doc_id) == F.col(key), "left_semi")
