@@ -13,7 +13,7 @@ effect on the sums; no text is shortened. The language of the least total code l
 ``score`` is the winner's share when each language weighs ``2^-(bits per byte)``-fold to the power ``sharpness``, a
 number from 0 to 1. ``bits`` is the winner's code length per byte.
 
-Learning uses at most ``sample_docs`` texts of each language (chosen by a hash of the text) and ``sample_chars``
+Learning uses at most ``sample_docs`` different texts of each language (chosen by a hash of the text) and ``sample_chars``
 characters of each, and at most ``max_languages`` languages, the most frequent; these bounds are the only place where
 rows are left out. Texts are lower-cased, digits become 0 and other white space a space.
 
@@ -153,15 +153,16 @@ def totals(model: Model, texts: list[bytes], piece: int = 512) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars: int, max_languages: int) -> dict[str, list[bytes]]:
-    """The bounded training sample, by language. Each task passes on at most ``sample_docs`` rows of a language."""
+    """The bounded training sample, by language. Copies of a text count once; texts are read again when hashes are chosen."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     if not top:
         return {}
     rows = rows.filter(F.col("lang").isin(top)).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample_docs)
     out: dict[str, list[bytes]] = {}
-    for r in rows.withColumn("place", place).filter(F.col("place") <= sample_docs).collect():
+    for r in rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
         if _LETTER.search(r.text):
             out.setdefault(r.lang, []).append(tidy(r.text))
     return {k: sorted(v) for k, v in out.items()}

@@ -72,3 +72,10 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     row = found.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert row[1] > 150 and row[0] >= 0.97
+
+
+def test_copies_count_once_in_the_sample(spark):
+    docs = [(f"text {'abcdefghij'[i]}", "x") for i in range(10) for _ in range(200)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    got = langid.sample(df, "text", "lang", sample_docs=8, sample_chars=3000, max_languages=64)
+    assert len(got["x"]) == len(set(got["x"])) == 8
