@@ -14,8 +14,8 @@ effect on the sums; no text is shortened. The language of the least total code l
 number from 0 to 1. ``bits`` is the winner's code length per byte.
 
 Learning uses at most ``sample_docs`` different texts of each language (chosen by a hash of the text) and ``sample_chars``
-characters of each, and at most ``max_languages`` languages, the most frequent; these bounds are the only place where
-rows are left out. Texts are lower-cased, digits become 0 and other white space a space.
+characters of each; these bounds are the only place where rows are left out. Every language is learned, ``GROUP`` of them
+in one automaton, so that tables grow with the languages and not with their square. Texts are lower-cased, digits become 0 and other white space a space.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with score 0; rows without language are not
 learned from; if nothing can be learned everything is ``und``; repeated rows get equal results; an empty table gives an
@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import table
 
+GROUP = 8
 _LETTER = re.compile(r"[^\W\d_]")
 _TIDY = {i: "0" for i in range(0x30, 0x3A)} | {i: " " for i in (9, 10, 11, 12, 13)}
 
@@ -119,6 +120,12 @@ def train(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int
     return Model(list(trees), step.ravel(), bits.reshape(-1, len(trees)), classes, n, max_order)
 
 
+def train_all(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int = 4000) -> list[Model]:
+    """Models of ``GROUP`` languages each. A language's code lengths do not depend on those it is grouped with."""
+    names = sorted(samples)
+    return [train({k: samples[k] for k in names[i : i + GROUP]}, max_order, max_contexts) for i in range(0, len(names), GROUP)]
+
+
 def totals(model: Model, texts: list[bytes], piece: int = 512) -> np.ndarray:
     """Code lengths in bits of each text (rows) under each language (columns)."""
     out = np.zeros((len(texts), len(model.languages)))
@@ -152,13 +159,10 @@ def totals(model: Model, texts: list[bytes], piece: int = 512) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars: int, max_languages: int) -> dict[str, list[bytes]]:
+def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars: int) -> dict[str, list[bytes]]:
     """The bounded training sample, by language. Copies of a text count once; texts are read again when hashes are chosen."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not top:
-        return {}
-    rows = rows.filter(F.col("lang").isin(top)).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
+    rows = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = rows.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample_docs)
     out: dict[str, list[bytes]] = {}
@@ -170,7 +174,7 @@ def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars
 
 def _predict(shared, sharpness: float, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        models: list[Model] = shared.value
         for batch in batches:
             lang, score, bits, i = [], [], [], 0
             texts = batch.column(1)
@@ -179,10 +183,10 @@ def _predict(shared, sharpness: float, keep_text: bool):
                 while j < batch.num_rows and (j == i or size < 2_000_000):
                     raw = texts[j].as_py()
                     raw = raw.decode("utf-8", "replace") if raw is not None else ""
-                    held.append(tidy(raw) if model is not None and _LETTER.search(raw) else None)
+                    held.append(tidy(raw) if models and _LETTER.search(raw) else None)
                     size += len(held[-1] or b"")
                     j += 1
-                got = _choose(model, held, sharpness)
+                got = _choose(models, held, sharpness)
                 lang += got[0]
                 score += got[1]
                 bits += got[2]
@@ -194,23 +198,24 @@ def _predict(shared, sharpness: float, keep_text: bool):
     return run
 
 
-def _choose(model: Model | None, texts: list[bytes | None], sharpness: float) -> tuple[list, list, list]:
+def _choose(models: list[Model], texts: list[bytes | None], sharpness: float) -> tuple[list, list, list]:
     lang, score, bits = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
     real = [k for k, t in enumerate(texts) if t]
     if real:
-        per = totals(model, [texts[k] for k in real]) / np.array([[len(texts[k])] for k in real])
+        languages = [x for m in models for x in m.languages]
+        per = np.hstack([totals(m, [texts[k] for k in real]) for m in models]) / np.array([[len(texts[k])] for k in real])
         best = per.argmin(axis=1)
         share = 1 / np.exp2((per.min(axis=1, keepdims=True) - per) * sharpness).sum(axis=1)
         for k, b, s, x in zip(real, best, share, per.min(axis=1), strict=True):
-            lang[k], score[k], bits[k] = model.languages[b], float(min(1.0, s)), float(x)
+            lang[k], score[k], bits[k] = languages[b], float(min(1.0, s)), float(x)
     return lang, score, bits
 
 
-def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sample_chars: int = 3000, max_languages: int = 64, sharpness: float = 8.0, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sample_chars: int = 3000, sharpness: float = 8.0, keep_text: bool = False) -> DataFrame:
     """``row`` (a struct of all columns but the text, as c0, c1 ...), ``lang_pred, score, bits`` for every document, and its ``text`` if asked for."""
     learned = docs.filter(learn_from) if learn_from is not None else docs
-    samples = sample(learned, text, lang, sample_docs, sample_chars, max_languages)
-    shared = docs.sparkSession.sparkContext.broadcast(train(samples, max_order, max_contexts))
+    samples = sample(learned, text, lang, sample_docs, sample_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(train_all(samples, max_order, max_contexts))
     rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").cast("binary").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()

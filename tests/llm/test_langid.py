@@ -77,5 +77,16 @@ def test_held_out_accuracy(spark):
 def test_copies_count_once_in_the_sample(spark):
     docs = [(f"text {'abcdefghij'[i]}", "x") for i in range(10) for _ in range(200)]
     df = spark.createDataFrame(docs, "text string, lang string")
-    got = langid.sample(df, "text", "lang", sample_docs=8, sample_chars=3000, max_languages=64)
+    got = langid.sample(df, "text", "lang", sample_docs=8, sample_chars=3000)
     assert len(got["x"]) == len(set(got["x"])) == 8
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    docs = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 6))) for _ in range(6)]
+        docs += [(" ".join(rng.choice(words) for _ in range(60)), f"l{k:02}") for _ in range(3 if k else 2)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    got = langid.identify(df, max_contexts=300).select("row.c1", "lang_pred").collect()
+    assert len(got) == len(docs) and all(r[0] == r[1] for r in got)
