@@ -21,16 +21,25 @@ def distance_inside(pattern, text):
 
 
 def brute(items, text, length=64, edits=4, least=24):
+    """Every segment of every item by the full table; short items as whole words."""
     body, out = decontam.tidy(text), set()
     for item, t in items:
         b = decontam.tidy(t)
-        if item is None or len(b) < least:
+        if item is None or not b:
             continue
-        last = max(0, len(b) - length)
-        for at in {*range(0, last, length // 2), last}:
-            seg = b[at : at + length]
-            if distance_inside(seg, body) <= min(edits, len(seg) * edits // length):
+        if len(b) < least:
+            if f" {b} " in f" {body} ":
                 out.add(item)
+            continue
+        m = min(length, len(b))
+        budget = min(edits, m * edits // length)
+        for at in range(len(b) - m + 1):
+            seg = b[at : at + m]
+            # one of budget + 1 pieces of a match is exact: spares most tables
+            cut = [seg[m * k // (budget + 1) : m * (k + 1) // (budget + 1)] for k in range(budget + 1)]
+            if any(c in body for c in cut) and distance_inside(seg, body) <= budget:
+                out.add(item)
+                break
     return sorted(out)
 
 
@@ -83,11 +92,8 @@ def test_frames(spark, block_chars):
     assert sorted(map(tuple, kept.collect())) == [d for d in docs if d[2] in (2, 3, 4)]
     assert decontam.decontaminate(df, bench.limit(0)).count() == 8
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
-    found = {}
-    for f in decontam.contamination(df, bench, block_chars=block_chars):
-        for r in f.collect():
-            found.setdefault(r["row"].c2, set()).update(r["items"])
-    assert {k: sorted(v) for k, v in found.items() if v} == {1: [0], 5: [2, 5], 6: [2, 5], 7: [1], 8: [4]}
+    found = {r["row"].c2: r["items"] for r in decontam.contamination(df, bench, block_chars=block_chars).collect()}
+    assert {k: v for k, v in found.items() if v} == {1: [0], 5: [2, 5], 6: [2, 5], 7: [1], 8: [4]}
 
 
 def test_finds_every_whole_item_in_the_documents(spark):
@@ -104,8 +110,8 @@ def test_finds_every_whole_item_in_the_documents(spark):
 def test_excerpts_are_found_wherever_they_begin(spark):
     rng = random.Random(11)
     item = word_text(rng, 60)
-    body = decontam.tidy(item).decode()
-    docs = [(at, "zz " + body[at : at + 64] + " zz") for at in range(len(body) - 63) if len(body[at : at + 64].encode()) >= 64 and body[at] != " " != body[at + 63]]
+    body = decontam.tidy(item)
+    docs = [(at, "zz " + body[at : at + 64] + " zz") for at in range(len(body) - 63) if body[at] != " " != body[at + 63]]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert len(docs) > 100 and decontam.decontaminate(df, bench).count() == 0
@@ -114,25 +120,76 @@ def test_excerpts_are_found_wherever_they_begin(spark):
 def test_every_start_matches_the_full_table():
     rng = random.Random(12)
     items = [(i, word_text(rng, n)) for i, n in enumerate([6, 14, 22, 30])]
-    index = decontam.build(items, step=1)
+    index = decontam.build(items)
     texts = []
     for k in range(40):
-        leak = decontam.tidy(items[k % 4][1]).decode()
+        leak = decontam.tidy(items[k % 4][1])
         at = rng.randint(0, max(0, len(leak) - 64))
         texts.append(word_text(rng, 3) + " " + edited(rng, leak[at : at + rng.choice([58, 62, 66])], rng.choice([0, 2, 4, 6])) + " " + word_text(rng, 3))
-    want = []
-    for t in texts:
-        body, found = decontam.tidy(t), set()
-        for item, text in items:
-            b = decontam.tidy(text)
-            m = min(64, len(b))
-            if any(distance_inside(b[at : at + m], body) <= min(4, m * 4 // 64) for at in range(len(b) - m + 1)):
-                found.add(item)
-        want.append(sorted(found))
+    want = [brute(items, t) for t in texts]
     assert decontam.search(index, [decontam.tidy(t) for t in texts]) == want
     assert 10 < sum(map(bool, want)) < 40
 
 
+def test_neighbouring_texts_do_not_meet():
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
+    index = decontam.build([(1, item)])
+    body = decontam.tidy(item)
+    a, b = body[:32], body[32:64]
+    assert decontam.search(index, [a]) == decontam.search(index, [b]) == [[]]
+    assert decontam.search(index, ["zzzz " + a, b + " yyyy"]) == [[], []]
+    assert decontam.search(index, ["zzzz " + a, "", "", "", "", "", b + " yyyy", body[:64]]) == [[]] * 7 + [[1]]
+
+
+def test_edits_are_characters():
+    item = "съешь же ещё этих мягких французских булок"
+    assert decontam.search(decontam.build([(1, item)]), ["да выпей " + item.replace("ь", "q", 1).replace("щ", "w", 1) + " чаю"]) == [[1]]
+    assert decontam.search(decontam.build([(1, item)]), ["да выпей " + item.replace("е", "q", 4) + " чаю"]) == [[]]
+
+
+def test_short_items_are_found_exactly_as_words():
+    index = decontam.build([(1, "What is the  capital?"), (2, "é"), (3, "what is"), (4, ""), (5, None)])
+    assert index.owners and decontam.search(index, [decontam.tidy(t) for t in ["so, WHAT is the capital?", "what is the capital", "whats is the capital? é", "xé", "", "é"]]) == [[1, 3], [3], [2], [], [], [2]]
+
+
+def test_shared_beginnings_match_the_full_table():
+    rng = random.Random(21)
+    line = word_text(rng, 30)
+    items = [(i, line + " " + word_text(rng, 12)) for i in range(12)] + [(20 + i, line[40:] + " " + word_text(rng, 2)) for i in range(4)] + [(40, line)]
+    index = decontam.build(items)
+    tidied = decontam.tidy(line)
+    texts = [line, tidied[-70:] + " " + word_text(rng, 4), tidied[-45:] + " " + word_text(rng, 9), word_text(rng, 9) + " " + items[3][1][-80:], edited(rng, items[5][1], 3), tidied[:66]]
+    texts += [word_text(rng, 3) + " " + edited(rng, decontam.tidy(rng.choice(items)[1])[a : a + 75], rng.choice([0, 3, 6])) for a in range(0, 120, 9)]
+    texts = [decontam.tidy(t) for t in texts]
+    want = [brute(items, t) for t in texts]
+    assert decontam.search(index, texts) == want
+    assert [decontam.search(index, [t])[0] for t in texts] == want
+    assert {len(w) for w in want} >= {0, 1, 17}
+
+
+def test_a_common_line_costs_no_square():
+    import time
+
+    rng = random.Random(22)
+    line = word_text(rng, 40)
+    index = decontam.build([(i, line + " " + word_text(rng, 12)) for i in range(4001)])
+    texts = [decontam.tidy(word_text(rng, 40) + " " + line + " " + word_text(rng, 40)) for _ in range(4)] + [decontam.tidy(word_text(rng, 150_000))]
+    began = time.time()
+    got = decontam.search(index, texts)
+    assert [len(x) for x in got] == [4001] * 4 + [0] and time.time() - began < 4
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = random.Random(23)
+    items = [(i, word_text(rng, 15)) for i in range(5)] + [(9, "a short one")]
+    text = decontam.tidy(" ".join(word_text(rng, rng.randint(0, 40)) + " " + rng.choice(items)[1] for _ in range(30)))
+    monkeypatch.setattr(decontam, "_PIECE", 300)
+    index = decontam.build(items)
+    for cut in (text, text[:700], "x" * 500, items[9 - 4][1]):
+        pieces = list(decontam._cuts(cut, 70 + 24))
+        assert sorted({i for p in decontam.search(index, pieces) for i in p}) == decontam.search(index, [cut])[0] == brute(items, cut)
+
+
 def test_op5_keeps_every_row_over_several_blocks(spark, tmp_path):
     rng = random.Random(13)
     items = [(i, word_text(rng, 25)) for i in range(4)]
