@@ -115,12 +115,13 @@ def asof_join(
     suffixes: Sequence[str] | None = None,
     validate: str = "eager",
     buckets: int | None = None,
+    hot_rows: int = 1_000_000,
 ) -> OrderedFrame:
     """Left columns, then each right input's columns but its keys. Bounds are in the time's unit (days, microseconds).
 
     ``validate="eager"`` checks that times arrive in order, at the cost of a pass over each input; ``"off"`` trusts the
-    caller. ``buckets`` cuts each key's time line; the default is 1 with by-keys, and four times the shuffle
-    partitions without.
+    caller. ``buckets`` cuts each key's time line; by default into as many as the largest key has ``hot_rows`` (rows per
+    key are counted), or without by-keys into four times the shuffle partitions.
     """
     rights = [rights] if isinstance(rights, OrderedFrame) else list(rights)
     schema = output_schema(left, rights, keys, suffixes)
@@ -155,21 +156,27 @@ def asof_join(
     for s in sides[1:]:
         rows = rows.union(s)
     if buckets is None:
-        buckets = 1 if by_names else 4 * int(left.spark.conf.get("spark.sql.shuffle.partitions"))
+        most = 4 * int(left.spark.conf.get("spark.sql.shuffle.partitions"))
+        if by_names:
+            largest = rows.groupBy(*by_names).count().agg(F.max("count")).first()[0] or 0
+            most = min(most, -(-largest // hot_rows))
+        buckets = max(1, most)
     group = list(by_names)
     if buckets > 1:
         rows, group = _bucketed(rows, group, buckets), [*group, "bucket"]
-    tie = [F.col(f"p{i}.seq") for i in range(len(rights))]
+    tie_names = [f"p{i}.seq" for i in range(len(rights))]
+    tie = [F.col(c).asc_nulls_first() for c in tie_names]
     window = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ordered = window.orderBy(F.col("t").asc_nulls_first(), "side", *tie)
-    past, future = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(0, Window.unboundedFollowing)
+    # the next row is the last one of the reversed order: a frame that grows is evaluated once, one that shrinks is not
+    past = window.orderBy(F.col("t").asc_nulls_first(), "side", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    future = window.orderBy(F.col("t").desc_nulls_last(), F.desc("side"), *[F.col(c).desc_nulls_last() for c in tie_names]).rowsBetween(Window.unboundedPreceding, 0)
     need_past = latest or bounds.lower < 0
     for i in range(len(rights)):
         p = F.col(f"p{i}")
         if need_past:
             rows = rows.withColumn(f"a{i}", F.last(p, ignorenulls=True).over(past))
         if not latest:
-            rows = rows.withColumn(f"z{i}", F.first(p, ignorenulls=True).over(future))
+            rows = rows.withColumn(f"z{i}", F.last(p, ignorenulls=True).over(future))
     found = rows.filter("side = 1")
     if buckets > 1:
         found = _carried(rows, found, by_names, len(rights), need_past, not latest)
@@ -226,12 +233,13 @@ def _carried(rows: DataFrame, found: DataFrame, by: list[str], n: int, past: boo
         if future:
             summaries.append(F.min_by(p, at).alias(f"first{i}"))
     per = rows.select(*by, "bucket", "t", *[f"p{i}" for i in range(n)]).groupBy(*by, "bucket").agg(*summaries)
-    line = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("bucket")
+    line = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before, after = (line.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("bucket"), F.desc("bucket")))
     for i in range(n):
         if past:
-            per = per.withColumn(f"ca{i}", F.last(f"last{i}", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+            per = per.withColumn(f"ca{i}", F.last(f"last{i}", ignorenulls=True).over(before))
         if future:
-            per = per.withColumn(f"cz{i}", F.first(f"first{i}", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+            per = per.withColumn(f"cz{i}", F.last(f"first{i}", ignorenulls=True).over(after))
     names = {b: f"k_{b}" for b in [*by, "bucket"]}
     per = per.select(*[F.col(b).alias(names[b]) for b in names], *[c for c in per.columns if c[:2] in ("ca", "cz")])
     same = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Invalid
-from ..ordering import SEQ, OrderedFrame, Ordering, SortKey, check_sorted, top_level
+from ..ordering import SEQ, OrderedFrame, Ordering, SortKey, check_sorted, quoted, top_level
 
 _NOT_SORTABLE = (T.ArrayType, T.MapType, T.StructType, T.NullType, T.VariantType)
 
@@ -19,8 +19,9 @@ def sorted_merge(frames: Sequence[OrderedFrame], ordering: Ordering, nulls: str
     """All rows of all inputs in key order, each row whole; ties between inputs are in the order of the inputs.
 
     ``nulls`` overrides the key's own placement. ``validate="eager"`` rejects inputs that are not sorted (a sort would
-    repair them without a word); ``"off"`` trusts the caller and saves a pass. The result is a DataFrame with a
-    declared order: it is sorted when it is taken in order (``sorted``) or written in order, once.
+    repair them without a word); ``"off"`` trusts the caller and saves a pass. A row's sequence is its place in the
+    merged order (key, input, arrival), so order-dependent operators see the merge; ``numbered`` gives that place as a
+    number, and ``sorted`` the rows in order.
     """
     if not frames:
         raise Invalid("a merge needs an input")
@@ -44,7 +45,9 @@ def sorted_merge(frames: Sequence[OrderedFrame], ordering: Ordering, nulls: str
             raise Invalid("a merge needs ordered inputs")
         if validate == "eager":
             check_sorted(f, key.name, key.nulls)
-    parts = [f.data.withColumn(SEQ, F.struct(F.lit(i).alias("input"), F.col(SEQ).alias("seq"))) for i, f in enumerate(frames)]
+    value = F.col(quoted(key.name))
+    late = value.isNull() if key.nulls == "last" else value.isNotNull()
+    parts = [f.data.withColumn(SEQ, F.struct(late.alias("late"), value.alias("key"), F.lit(i).alias("input"), F.col(SEQ).alias("seq"))) for i, f in enumerate(frames)]
     if len({p.schema[SEQ].dataType.json() for p in parts}) > 1:
         raise Invalid("the inputs' sequence columns have different types")
     return OrderedFrame(reduce(DataFrame.unionByName, parts), Ordering("explicit", (key,)))

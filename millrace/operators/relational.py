@@ -41,6 +41,16 @@ def union(*frames: OrderedFrame) -> OrderedFrame:
     return OrderedFrame.unordered(out)
 
 
+def intersect(left: OrderedFrame, right: OrderedFrame, every: bool = False) -> OrderedFrame:
+    """Rows of both inputs, nulls equal; ``every`` keeps repeats as often as both have them."""
+    return OrderedFrame.unordered(left.df.intersectAll(right.df) if every else left.df.intersect(right.df))
+
+
+def subtract(left: OrderedFrame, right: OrderedFrame, every: bool = False) -> OrderedFrame:
+    """Rows of the left input that the right one lacks; ``every`` takes away one row for each."""
+    return OrderedFrame.unordered(left.df.exceptAll(right.df) if every else left.df.subtract(right.df))
+
+
 def join(left: OrderedFrame, right: OrderedFrame, on: Sequence[str], how: str = "inner", null_safe: bool = False, broadcast_rows: int | None = None) -> OrderedFrame:
     """Equality join; the planner picks the strategy. With ``broadcast_rows`` the right side is broadcast if it is
     measured to have at most so many rows."""

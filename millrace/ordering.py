@@ -147,14 +147,14 @@ def chunked(frame: OrderedFrame, chunks: int | None = None) -> tuple[DataFrame,
     """The data with a column that deals it into consecutive chunks of the order: equal chunk numbers form a run of
     arrivals, and larger numbers come later. The numbers are a function of the row alone, so every execution agrees.
 
-    Sequences of numbers or times are dealt by equal ranges. For sequences of other types there is one chunk.
+    Sequences of numbers or times are dealt by equal ranges, others by splitters drawn from a sample of the sequence.
     """
     kind = frame.data.schema[SEQ].dataType
     name = "__chunk"
     place = as_long(F.col(SEQ), kind)
-    if place is None:
-        return frame.data.withColumn(name, F.lit(0).cast("long")), name
     chunks = chunks or 4 * int(frame.spark.conf.get("spark.sql.shuffle.partitions"))
+    if place is None:
+        return frame.data.withColumn(name, _split(frame.data, kind, min(chunks, MOST_SPLITS))), name
     row = frame.data.agg(F.min(place), F.max(place)).first()
     low, high = row[0] or 0, row[1] or 0
     width = (int(high) - int(low)) // chunks + 1
@@ -162,6 +162,47 @@ def chunked(frame: OrderedFrame, chunks: int | None = None) -> tuple[DataFrame,
     return frame.data.withColumn(name, F.coalesce(number, F.lit(-1).cast("long"))), name
 
 
+#: Splitters are compared one by one inside an expression, which should stay small enough to be compiled.
+MOST_SPLITS = 64
+
+
+def _split(data: DataFrame, kind: T.DataType, chunks: int, per_chunk: int = 100) -> Column:
+    """How many splitters a sequence is not below; a null is below all."""
+    seq, total = data.select(SEQ), data.count()
+    share = min(1.0, per_chunk * chunks / max(total, 1))
+    drawn = [r[0] for r in (seq.sample(share, 5) if share < 1 else seq).orderBy(SEQ).limit(2 * per_chunk * chunks).collect()]
+    drawn = [x for x in drawn if x is not None]
+    places = sorted({len(drawn) * k // chunks for k in range(1, chunks)}) if drawn else []
+    splitters = [_literal(drawn[k], kind) for k in places]
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        return F.when(F.coalesce(F.col(SEQ) < splitters[middle], F.lit(True)), below(low, middle)).otherwise(below(middle + 1, high))
+
+    return below(0, len(splitters))
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind, strict=True)])
+    return F.lit(value).cast(kind)
+
+
+def numbered(frame: OrderedFrame, name: str) -> OrderedFrame:
+    """The frame with each row's 0-based place in its sequence. Chunks are numbered in parallel; their counts meet in a window."""
+    if not frame.ordering.ordered:
+        raise Invalid("only ordered rows have places")
+    data, chunk = chunked(frame)
+    per = data.groupBy(F.col(chunk).alias("__of")).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("__of", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(chunk).orderBy(SEQ)) - 1
+    out = data.withColumn("__inside", inside).join(F.broadcast(per), F.col(chunk) == F.col("__of"))  # one row per chunk
+    return frame.with_data(out.withColumn(name, F.col("__before") + F.col("__inside")).drop(chunk, "__of", "__before", "__inside"))
+
+
 def as_long(c: Column, kind: T.DataType) -> Column | None:
     """An order-preserving 64-bit number for integers, dates, timestamps and unsigned 64-bit decimals; else None."""
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

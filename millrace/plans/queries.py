@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +17,13 @@ from ..operators.filter import filter_rows
 from ..operators.merge import sorted_merge
 from ..operators.pipes import Pipes
 from ..operators.pivot import Template, pivot_longer
-from ..operators.relational import fetch, join, order_by, project, union
-from ..operators.write import WriteOptions, write
-from ..ordering import OrderedFrame, Ordering, SortKey
+from ..operators.relational import fetch, intersect, join, order_by, project, subtract, union
+from ..operators.write import WriteOptions, tee, write
+from ..ordering import OrderedFrame, Ordering, SortKey, numbered
+from ..sources import memory
 from ..sources.files import scan
+from ..sources.rows import frame_from_rows, rows_from_frame
+from ..streaming.push import windowed
 from .registry import Declaration
 
 HOUR = 3_600_000_000  # microseconds
@@ -79,7 +85,7 @@ def _asof_orders(bounds: Bounds, null_keys: bool = False):
 
 def merge_sorted(spark, sf_dir):
     frames = [_events(spark, sf_dir, kind, "event_type", "value") for kind in ("click", "view", "purchase")]
-    return sorted_merge(frames, Ordering.explicit("ts")).df
+    return numbered(sorted_merge(frames, Ordering.explicit("ts")), "place").df
 
 
 def filter_not_null(spark, sf_dir):
@@ -127,29 +133,53 @@ def agg_first_last(spark, sf_dir):
 
 
 def tdigest_rank_error(spark, sf_dir):
-    """Whether the digest's quantiles per event type are within half a percent of their rank."""
+    """Each event type's digest: its count and ends, and whether quantiles are within half a percent of their rank."""
     rows = _read(spark, sf_dir, "events").select("event_type", "value")
     q = (0.01, 0.1, 0.5, 0.9, 0.99)
-    found = td.tdigest(rows, ["event_type"], "value", td.Options(q=q)).select("event_type", F.posexplode("quantiles").alias("i", "x"))
-    ranks = rows.join(F.broadcast(found), "event_type").groupBy("event_type", "i").agg(F.avg((F.col("value") <= F.col("x")).cast("int")).alias("r"))
+    digests = td.quantile_elementwise(td.digest_map(rows, ["event_type"], "value"), "digest", "quantiles", td.Options(q=q))
+    found = digests.select("event_type", _weight().alias("n"), F.col("digest.min").alias("low"), F.col("digest.max").alias("high"), F.posexplode("quantiles").alias("i", "x"))
+    ranks = rows.join(found, "event_type").groupBy("event_type", "n", "low", "high", "i").agg(F.avg((F.col("value") <= F.col("x")).cast("int")).alias("r"))
     want = F.element_at(F.array(*[F.lit(x) for x in q]), F.col("i") + 1)
-    return ranks.select("event_type", F.col("i").cast("int").alias("i"), (F.abs(F.col("r") - want) < 0.005).alias("close"))
+    return ranks.select("event_type", "n", "low", "high", F.col("i").cast("int").alias("i"), (F.abs(F.col("r") - want) < 0.005).alias("close"))
+
+
+def _weight():
+    return F.aggregate("digest.centroids", F.lit(0.0), lambda n, c: n + c["weight"]).cast("long")
+
+
+_QUARTERS = td.Options(q=(0.0, 0.25, 0.5, 0.75, 1.0))
+
+
+def _five(column: str):
+    return [F.col(column)[i].alias(n) for i, n in enumerate(("low", "quarter", "middle", "upper", "high"))]
 
 
 def tdigest_small_groups(spark, sf_dir):
-    """Exact where a group has few values: each nation's suppliers, minimum, maximum and count by digests."""
+    """Exact where a group has few values: each nation's suppliers, five quantiles and the count by digests."""
     rows = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey"), "s_acctbal")
-    digests = td.digest_map(rows, ["s_nationkey"], "s_acctbal")
-    out = td.quantile_elementwise(digests, "digest", "q", td.Options(q=(0.0, 1.0)))
-    weight = F.aggregate("digest.centroids", F.lit(0.0), lambda n, c: n + c["weight"])
-    return out.select("s_nationkey", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), weight.cast("long").alias("n"))
+    out = td.quantile_elementwise(td.digest_map(rows, ["s_nationkey"], "s_acctbal"), "digest", "q", _QUARTERS)
+    return out.select("s_nationkey", *_five("q"), _weight().alias("n"))
+
+
+def tdigest_reduced(spark, sf_dir):
+    """Digests of parts of each nation's suppliers, reduced to one."""
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey"), (F.col("s_suppkey") % 3).alias("part"), "s_acctbal")
+    parts = td.digest_map(rows, ["s_nationkey", "part"], "s_acctbal")
+    out = td.quantile_elementwise(td.digest_reduce(parts, ["s_nationkey"], "digest"), "digest", "q", _QUARTERS)
+    return out.select("s_nationkey", *_five("q"), _weight().alias("n"))
+
+
+def tdigest_of_digests(spark, sf_dir):
+    """Quantiles of each nation straight from the digests of its parts."""
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey"), (F.col("s_suppkey") % 3).alias("part"), "s_acctbal")
+    parts = td.digest_map(rows, ["s_nationkey", "part"], "s_acctbal")
+    return td.quantile(parts, ["s_nationkey"], "digest", _QUARTERS).select("s_nationkey", *_five("quantiles"))
 
 
 def approximate_median(spark, sf_dir):
-    rows = _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    out = td.approximate_median(rows, ["l_returnflag"], "l_quantity")
-    exact = rows.groupBy("l_returnflag").agg(F.median("l_quantity").alias("exact"))
-    return out.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("median") - F.col("exact")) <= 1).alias("close"))
+    """Medians of few values are exact (suppliers of a nation)."""
+    rows = _read(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal")
+    return td.approximate_median(rows, ["s_nationkey"], "s_acctbal")
 
 
 def pipe_tee(spark, sf_dir):
@@ -166,13 +196,83 @@ def pipe_fetch(spark, sf_dir):
     return union(fetch(kept, 5, 10), pipes.source("events")).df.select("event_id")
 
 
-def write_roundtrip(spark, sf_dir):
+def _folder(spark) -> str:
+    """A folder of its own in the warehouse, removed when the session's program ends: results are read from it."""
     path = f"{spark.conf.get('spark.sql.warehouse.dir')}/millrace-{uuid.uuid4().hex}"
+
+    def remove():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path
+
+
+def write_roundtrip(spark, sf_dir):
+    path = _folder(spark)
     rows = project(_all_events(spark, sf_dir), {"event_id": F.col("event_id"), "value": F.col("value"), "event_type": F.col("event_type")})
     write(rows, WriteOptions(path, partitioning=["event_type"], max_rows_per_file=5000))
     return scan(spark, path).df
 
 
+def write_tee(spark, sf_dir):
+    """What a write-through tee writes and what it passes on."""
+    path = _folder(spark)
+    rows = project(_all_events(spark, sf_dir), {"event_id": F.col("event_id"), "value": F.col("value"), "event_type": F.col("event_type")})
+    passed = tee(rows, WriteOptions(path, partitioning=["event_type"]))
+    written = project(scan(spark, path), {c: F.col(c) for c in ("event_id", "value", "event_type")})
+    return passed.df.withColumn("way", F.lit("passed")).unionByName(written.df.withColumn("way", F.lit("written")))
+
+
+def memory_sources(spark, sf_dir):
+    """The nations through every source of rows that are on the driver."""
+    held = _read(spark, sf_dir, "nation").toArrow().select(["n_nationkey", "n_name"])
+    schema, batches = held.schema, held.to_batches()
+    columns = [[b.column(0), b.column(1)] for b in batches]
+    made = {
+        "generator": memory.source(spark, schema, lambda: iter(batches)),
+        "table": memory.table_source(spark, held),
+        "record batches": memory.record_batch_source(spark, schema, batches),
+        "reader": memory.reader_source(spark, held.to_reader()),
+        "exec batches": memory.exec_batch_source(spark, schema, [(c, len(c[0])) for c in columns]),
+        "array vectors": memory.array_vector_source(spark, schema, columns),
+    }
+    return union(*[OrderedFrame.unordered(f.df.withColumn("way", F.lit(k))) for k, f in made.items()]).df
+
+
+@dataclasses.dataclass
+class Nation:
+    key: int
+    name: str | None
+
+
+def typed_rows(spark, sf_dir):
+    """The nations as typed rows, and back."""
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name")
+    rows = rows_from_frame(OrderedFrame.implicit(nations, by=["n_nationkey"]), Nation)
+    return frame_from_rows(spark, (Nation(r.key, r.name) for r in rows), Nation).df
+
+
+def event_windows(spark, sf_dir):
+    """Events by type in windows of a day."""
+    out = windowed(_read(spark, sf_dir, "events"), "ts", "1 day", "1 hour", ["event_type"], [F.count("*").alias("n"), F.max("value").alias("high")])
+    return out.select(F.col("window.start").alias("day"), "event_type", "n", "high")
+
+
+def set_operations(spark, sf_dir):
+    """Users who clicked and bought, and users who clicked and did not."""
+    click, purchase = (project(_events(spark, sf_dir, k, "value"), {"user_id": F.col("user_id")}) for k in ("click", "purchase"))
+    both, only = intersect(click, purchase).df, subtract(click, purchase).df
+    return both.withColumn("bought", F.lit(True)).unionByName(only.withColumn("bought", F.lit(False)))
+
+
+def segments_of_merge(spark, sf_dir):
+    """Runs of one kind in the merged order of clicks and purchases."""
+    frames = [_events(spark, sf_dir, kind, "event_type", "value") for kind in ("click", "purchase")]
+    return aggregate(sorted_merge(frames, Ordering.explicit("ts")), [Agg("count_all", None, "n"), Agg("first", "event_id", "first_id")], segment_keys=["event_type"]).df
+
+
 def declared_plan(spark, sf_dir):
     """Scan, filter and aggregate as one declaration."""
     return Declaration.sequence(
@@ -219,6 +319,14 @@ QUERIES = {
     "pipe_tee": pipe_tee,
     "pipe_fetch": pipe_fetch,
     "write_roundtrip": write_roundtrip,
+    "write_tee": write_tee,
+    "memory_sources": memory_sources,
+    "typed_rows": typed_rows,
+    "event_windows": event_windows,
+    "set_operations": set_operations,
+    "segments_of_merge": segments_of_merge,
+    "tdigest_reduced": tdigest_reduced,
+    "tdigest_of_digests": tdigest_of_digests,
     "declared_plan": declared_plan,
     "join_null_safe": join_null_safe,
     "top_orders": top_orders,
@@ -255,6 +363,17 @@ LEFT JOIN (
 ) m ON l.o_orderkey = m.o_orderkey AND m.n = 1"""
 
 
+def _quarters_sql(more: str) -> str:
+    """Quantiles of few values: the value at the rank, or the mean of its neighbours where the rank is whole."""
+
+    def at(q: float, name: str) -> str:
+        x = f"({q} * n)"
+        return f"CASE WHEN {x} <= 1 THEN v[1] WHEN {x} >= n - 1 THEN v[n] WHEN {x} = floor({x}) THEN (v[{x}::INT] + v[{x}::INT + 1]) / 2 ELSE v[ceil({x})::INT] END AS {name}"
+
+    five = ", ".join(at(q, n) for q, n in ((0.0, "low"), (0.25, "quarter"), (0.5, "middle"), (0.75, "upper"), (1.0, "high")))
+    return f"SELECT s_nationkey, {five}{more} FROM (SELECT s_nationkey, list(s_acctbal ORDER BY s_acctbal) AS v, count(*) AS n FROM supplier GROUP BY s_nationkey)"
+
+
 ORACLE_SQL = {
     "asof_backward": f"""
 SELECT l.event_id, l.ts, l.user_id, l.value,
@@ -282,7 +401,7 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r ON l.ts >= r
     "asof_duplicates_last": _orders_sql(-30 * 24 * HOUR, 0),
     "asof_duplicates_first": _orders_sql(0, 30 * 24 * HOUR),
     "asof_null_keys": _orders_sql(-5 * 24 * HOUR, 5 * 24 * HOUR, True),
-    "sorted_merge": "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_type IN ('click', 'view', 'purchase')",
+    "sorted_merge": "SELECT event_id, ts, user_id, event_type, value, row_number() OVER (ORDER BY ts, list_position(['click', 'view', 'purchase'], event_type), event_id) - 1 AS place FROM events WHERE event_type IN ('click', 'view', 'purchase')",
     "filter_not_null": "SELECT l_orderkey, l_linenumber, l_tax AS tax, l_quantity FROM lineitem WHERE l_quantity > 10 AND l_returnflag <> 'R' AND l_tax IS NOT NULL",
     "pivot_longer": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, kind, number::BIGINT AS number, CASE number WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice WHEN 2 THEN l_discount END AS measurement FROM lineitem, (VALUES ('quantity', 0), ('price', 1), ('discount', 2), ('none', 3)) t(kind, number)",
     "agg_scalar": "SELECT sum(l_quantity::DECIMAL(12,2))::DOUBLE AS sum_q, min(l_extendedprice::DECIMAL(12,2))::DOUBLE AS min_p, max(l_extendedprice::DECIMAL(12,2))::DOUBLE AS max_p, count(*) AS n, count(DISTINCT l_returnflag) AS flags FROM lineitem",
@@ -297,12 +416,24 @@ c AS (SELECT *, CASE WHEN lag(day) OVER (ORDER BY event_id) IS NOT DISTINCT FROM
 s AS (SELECT *, sum(o) OVER (ORDER BY event_id) AS seg FROM c)
 SELECT day, event_type, count(*) AS n, sum(event_id)::BIGINT AS sum_id FROM s GROUP BY seg, day, event_type""",
     "agg_first_last": "SELECT user_id, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value FROM events GROUP BY user_id",
-    "tdigest_rank_error": "SELECT event_type, i::INTEGER AS i, true AS close FROM (SELECT DISTINCT event_type FROM events), range(0, 5) t(i)",
-    "tdigest_small_groups": "SELECT s_nationkey, min(s_acctbal) AS low, max(s_acctbal) AS high, count(*) AS n FROM supplier GROUP BY s_nationkey",
-    "tdigest_median": "SELECT DISTINCT l_returnflag, true AS close FROM lineitem",
+    "tdigest_rank_error": "SELECT event_type, n, low, high, i::INTEGER AS i, true AS close FROM (SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY event_type), range(0, 5) t(i)",
+    "tdigest_small_groups": _quarters_sql(", n"),
+    "tdigest_reduced": _quarters_sql(", n"),
+    "tdigest_of_digests": _quarters_sql(""),
+    "tdigest_median": f"SELECT s_nationkey, middle AS median FROM ({_quarters_sql('')})",
     "pipe_tee": "SELECT event_id, ts, user_id, event_type, value FROM events UNION ALL SELECT event_id, ts, user_id, event_type, value FROM events WHERE value > 100",
     "pipe_fetch": "SELECT event_id FROM events UNION ALL (SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 5)",
     "write_roundtrip": "SELECT event_id, value, event_type FROM events",
+    "write_tee": "SELECT event_id, value, event_type, way FROM events, (VALUES ('passed'), ('written')) t(way)",
+    "memory_sources": "SELECT n_nationkey, n_name, way FROM nation, (VALUES ('generator'), ('table'), ('record batches'), ('reader'), ('exec batches'), ('array vectors')) t(way)",
+    "typed_rows": "SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation",
+    "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, max(value) AS high FROM events GROUP BY ALL",
+    "set_operations": "WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id, user_id IN (SELECT user_id FROM p) AS bought FROM c",
+    "segments_of_merge": """
+WITH m AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_type, event_id) AS k FROM events WHERE event_type IN ('click', 'purchase')),
+c AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY k) = event_type THEN 0 ELSE 1 END AS o FROM m),
+s AS (SELECT *, sum(o) OVER (ORDER BY k) AS seg FROM c)
+SELECT event_type, count(*) AS n, arg_min(event_id, k) AS first_id FROM s GROUP BY seg, event_type""",
     "declared_plan": "SELECT l_returnflag, sum(l_linenumber)::BIGINT AS total, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag",
     "join_null_safe": "WITH n AS (SELECT n_name, CASE WHEN n_nationkey <> 3 THEN n_nationkey END AS k FROM nation), s AS (SELECT s_suppkey, CASE WHEN s_nationkey <> 3 THEN s_nationkey END AS k FROM supplier) SELECT s.s_suppkey, s.k, n.n_name FROM s JOIN n ON s.k IS NOT DISTINCT FROM n.k",
     "top_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 10",

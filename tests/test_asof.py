@@ -168,3 +168,20 @@ def test_repeated_names_need_suffixes(spark):
         asof_join(f, f, [Keys("on")] * 2, 0)
     out = asof_join(f, f, [Keys("on")] * 2, 0, suffixes=["_r"])
     assert joined(out, "secondary", "secondary_r") == [(1, 1), (2, 2)]
+
+
+def test_one_key_costs_no_square(spark):
+    """A frame that shrinks from row to row would take minutes here."""
+    import time
+
+    n = 60_000
+    rows = spark.range(2 * n).select(F.col("id").alias("on"), F.lit(1).alias("k"), F.col("id").alias("v"))
+    left = OrderedFrame.implicit(rows.filter("id % 2 = 0").drop("v"), by=["on"])
+    right = OrderedFrame.implicit(rows.filter("id % 2 = 1"), by=["on"])
+    keys = [Keys("on", ("k",))] * 2
+    began = time.time()
+    row = asof_join(left, right, keys, Bounds(0, 1), validate="off").df.agg(F.count("v"), F.sum(F.col("v") - F.col("on"))).first()
+    assert tuple(row) == (n, n) and time.time() - began < 60
+    hot = asof_join(left, right, keys, Bounds(0, 1), validate="off", hot_rows=10_000).df
+    assert tuple(hot.agg(F.count("v"), F.sum(F.col("v") - F.col("on"))).first()) == (n, n)
+    assert "bucket" in hot._jdf.queryExecution().toString()

@@ -1,4 +1,5 @@
 import dataclasses
+import random
 from typing import Optional
 
 import pyarrow as pa
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import millrace as m
 from millrace import Agg, Declaration, Invalid, OrderedFrame, Ordering, Template
+from millrace.ordering import chunked, numbered
 from millrace.streaming import push
 
 
@@ -302,3 +304,31 @@ def test_pushdown_reaches_the_scan(spark):
     out = m.filter_rows(OrderedFrame.unordered(df), F.col("l_quantity") > 40, ["l_tax"]).df.select("l_orderkey")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(l_tax)" in plan and "GreaterThan(l_quantity" in plan and "l_extendedprice" not in plan
+
+
+def test_places_and_segments_of_a_merge(spark):
+    rng = random.Random(4)
+    sides = [sorted((rng.randrange(400), i) for i in range(k, 900, 3)) for k in range(3)]
+    frames = [OrderedFrame.explicit(spark.createDataFrame([(x, i) for x, i in s], "on long, i long"), "on", by=["on", "i"]) for s in sides]
+    out = m.sorted_merge(frames, Ordering.explicit("on"))
+    want = sorted((x, k, i) for k, s in enumerate(sides) for x, i in s)
+    got = {r.i: r.place for r in numbered(out, "place").df.collect()}
+    assert got == {i: n for n, (_, _, i) in enumerate(want)}
+    data, chunk = chunked(out)
+    assert data.select(chunk).distinct().count() > 8
+    runs = []
+    for x, _, i in want:
+        if not runs or runs[-1][0] != x % 2:
+            runs.append([x % 2, 0, i])
+        runs[-1][1] += 1
+    kinds = OrderedFrame(out.data.withColumn("kind", F.col("on") % 2), out.ordering)
+    made = m.aggregate(kinds, [m.Agg("count_all", None, "n"), m.Agg("first", "i", "i")], segment_keys=["kind"])
+    assert [list(r) for r in made.sorted().collect()] == runs
+
+
+def test_chunks_of_text_follow_the_order(spark):
+    words = [None, "", *sorted({"".join(random.Random(k).choices("abcé", k=k % 7 + 1)) for k in range(300)})]
+    frame = OrderedFrame.implicit(spark.createDataFrame([(w,) for w in words], "w string"), by=["w"])
+    data, chunk = chunked(frame, 10)
+    got = [r[1] for r in data.select("w", chunk).orderBy("w").collect()]
+    assert got == sorted(got) and 5 < len(set(got)) <= 10
