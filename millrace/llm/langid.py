@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching (PPM).
 
-Training. Per language a tree of byte contexts up to ``max_order`` bytes is counted on a bounded sample and frozen:
-the ``max_contexts`` contexts seen most often stay. A byte unseen in a context escapes to the next shorter one (method
+Training. Per language a tree of byte contexts up to ``max_order`` bytes is counted on a bounded sample of rows and
+frozen: the ``max_contexts`` contexts seen most often stay (the size of the model). Contexts are counted in tasks and
+summed by Spark; the driver sees only those that stay. A byte unseen in a context escapes to the next shorter one (method
 C: the escape has as many counts as the context has different bytes); below order 0 stand 256 equal chances. So each
 language gives every byte after every context an exact code length.
 
@@ -13,9 +14,10 @@ effect on the sums; no text is shortened. The language of the least total code l
 ``score`` is the winner's share when each language weighs ``2^-(bits per byte)``-fold to the power ``sharpness``, a
 number from 0 to 1. ``bits`` is the winner's code length per byte.
 
-Learning uses at most ``sample_docs`` different texts of each language (chosen by a hash of the text) and ``sample_chars``
-characters of each; these bounds are the only place where rows are left out. Every language is learned, ``GROUP`` of them
-in one automaton, so that tables grow with the languages and not with their square. Texts are lower-cased, digits become 0 and other white space a space.
+Learning uses at most ``sample_docs`` different texts of each language, chosen by a hash of the text, each as a whole;
+this bound is the only place where rows are left out. Every language is learned, ``GROUP`` of them in one automaton, so
+that tables grow with the languages and not with their square. Texts are lower-cased, digits become 0 and other white
+space a space.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with score 0; rows without language are not
 learned from; if nothing can be learned everything is ``und``; repeated rows get equal results; an empty table gives an
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import settle, table
 
 GROUP = 8
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,26 +66,18 @@ def context_tree(texts: list[bytes], max_order: int, max_contexts: int) -> dict[
     return kept
 
 
-def code_lengths(tree: dict[bytes, Counter], context: bytes) -> np.ndarray:
-    """Bits of each of the 256 bytes after ``context`` (or its longest known suffix)."""
-    while context not in tree:
-        context = context[1:]
-    chance = np.full(256, 1 / 256)
-    for k in range(len(context), -1, -1):  # from order 0 up
-        seen = tree[context[k:]]
-        n, d = seen.total(), len(seen)
-        if not n:
-            continue
-        escape = d / (n + d)
-        below, chance = chance, np.zeros(256)
-        known = np.zeros(256, bool)
-        for byte, count in seen.items():
-            chance[byte], known[byte] = count / (n + d), True
-        rest = below[~known].sum()  # bytes already refused here cannot follow the escape
-        chance[~known] = escape * below[~known] / rest if rest else 0
-        if not rest:
-            chance /= chance.sum()
-    return -np.log2(chance)
+def refined(below: np.ndarray, seen: Counter) -> np.ndarray:
+    """Chances of the 256 bytes after a context, from those after the next shorter one and its own counts."""
+    n, d = seen.total(), len(seen)
+    if not n:
+        return below
+    at = np.fromiter(seen, np.int64, d)
+    escape, rest = d / (n + d), below.copy()
+    rest[at] = 0  # bytes already refused here cannot follow the escape
+    total = rest.sum()
+    chance = rest * (escape / total) if total else rest
+    chance[at] = np.fromiter(seen.values(), np.float64, d) / (n + d)
+    return chance if total else chance / chance.sum()
 
 
 @dataclass
@@ -96,8 +90,8 @@ class Model:
     max_order: int
 
 
-def train(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int = 4000) -> Model | None:
-    trees = {lang: context_tree(samples[lang], max_order, max_contexts) for lang in sorted(samples)}
+def frozen(trees: dict[str, dict[bytes, Counter]], max_order: int) -> Model | None:
+    """The automaton of some languages' trees. Shorter contexts come first, so each state builds on its suffix."""
     if not trees:
         return None
     used = sorted({b for t in trees.values() for b in t[b""]})
@@ -108,22 +102,32 @@ def train(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int
     alphabet = [*used, unused if unused is not None else used[-1]]
     states = sorted({c for t in trees.values() for c in t}, key=lambda c: (len(c), c))
     number = {c: i for i, c in enumerate(states)}
+    children: dict[bytes, list[bytes]] = {}
+    for c in states[1:]:
+        children.setdefault(c[:-1], []).append(c)
     step, bits = np.zeros((len(states), n), np.int32), np.zeros((len(states), n, len(trees)), np.float32)
+    chance = np.zeros((len(states), 256))
+    for k, tree in enumerate(trees.values()):
+        for i, c in enumerate(states):
+            below = chance[number[c[1:]]] if c else np.full(256, 1 / 256)
+            chance[i] = refined(below, tree[c]) if c in tree else below
+        bits[:, :, k] = -np.log2(chance[:, alphabet])
     for i, c in enumerate(states):
-        for k, lang in enumerate(trees):
-            bits[i, :, k] = code_lengths(trees[lang], c)[alphabet]
-        for k, b in enumerate(used):
-            longer = c + bytes([b])
-            while len(longer) > max_order or longer not in number:
-                longer = longer[1:]
-            step[i, k] = number[longer] * n
+        if c:
+            step[i] = step[number[c[1:]]]
+        for longer in children.get(c, ()):
+            step[i, classes[longer[-1]]] = number[longer] * n
     return Model(list(trees), step.ravel(), bits.reshape(-1, len(trees)), classes, n, max_order)
 
 
-def train_all(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int = 4000) -> list[Model]:
+def train(samples: dict[str, list[bytes]], max_order: int = 4, max_contexts: int = 4000) -> Model | None:
+    return frozen({lang: context_tree(samples[lang], max_order, max_contexts) for lang in sorted(samples)}, max_order)
+
+
+def frozen_all(trees: dict[str, dict[bytes, Counter]], max_order: int = 4) -> list[Model]:
     """Models of ``GROUP`` languages each. A language's code lengths do not depend on those it is grouped with."""
-    names = sorted(samples)
-    return [train({k: samples[k] for k in names[i : i + GROUP]}, max_order, max_contexts) for i in range(0, len(names), GROUP)]
+    names = sorted(trees)
+    return [frozen({k: trees[k] for k in names[i : i + GROUP]}, max_order) for i in range(0, len(names), GROUP)]
 
 
 def totals(model: Model, texts: list[bytes], piece: int = 512) -> np.ndarray:
@@ -159,17 +163,67 @@ def totals(model: Model, texts: list[bytes], piece: int = 512) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, sample_chars: int) -> dict[str, list[bytes]]:
-    """The bounded training sample, by language. Copies of a text count once; texts are read again when hashes are chosen."""
+def sample(docs: DataFrame, text: str, lang: str, sample_docs: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """``lang, text`` of the bounded training sample. Copies of a text count once; texts are read again when hashes are chosen."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= sample_docs)
-    out: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
-        if _LETTER.search(r.text):
-            out.setdefault(r.lang, []).append(tidy(r.text))
-    return {k: sorted(v) for k, v in out.items()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    for dealt in (["lang", "part"], ["lang"]):  # so that a very common language is not one task's
+        place = F.row_number().over(Window.partitionBy(*dealt).orderBy("h"))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= sample_docs)
+    chosen = settle(chosen.select("lang", "h"))
+    n = chosen.count()
+    found = rows.join(F.broadcast(chosen) if n <= broadcast_rows else chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    return found.coalesce(max(1, n // 100))
+
+
+def _contexts(max_order: int):
+    """Counts of (context, next byte) by language. A code holds the order, the context's bytes and the byte after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py().decode("utf-8", "replace")
+                if _LETTER.search(text):
+                    held.setdefault(lang, []).append(b" " + tidy(text))
+                    size += len(held[lang][-1])
+                if size > 4_000_000:
+                    yield from counted(held)
+                    held, size = {}, 0
+        yield from counted(held)
+
+    def counted(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in held.items():
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = data.astype(np.int64)
+            for k in range(max_order + 1):
+                if k:
+                    code[k:] += data[:-k].astype(np.int64) << 8 * k
+                got, n = np.unique(code[place >= k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(got | k << 56), pa.array(n)], names=["lang", "code", "n"])
+
+    return run
+
+
+def learn(rows: DataFrame, max_order: int, max_contexts: int) -> dict[str, dict[bytes, Counter]]:
+    """``context_tree`` of each language of ``rows`` (``lang, text``), counted by Spark."""
+    if not 0 <= max_order <= 6:
+        raise ValueError("max_order must be from 0 to 6")
+    counts = rows.select("lang", F.col("text").cast("binary")).mapInArrow(_contexts(max_order), "lang string, code long, n long")
+    counts = settle(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8)))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "context"))
+    kept = counts.groupBy("lang", "context").agg(F.sum("n").alias("total")).filter("total >= 2 OR context = 0")
+    kept = kept.withColumn("place", best).filter(F.col("place") <= max_contexts).select("lang", "context")
+    trees: dict[str, dict[bytes, Counter]] = {}
+    for lang, code, n in counts.join(kept, ["lang", "context"]).select("lang", "code", "n").collect():
+        k = code >> 56
+        data = (code & ((1 << 56) - 1)).to_bytes(7, "big")[6 - k :]
+        trees.setdefault(lang, {}).setdefault(data[:-1], Counter())[data[-1]] = n
+    return trees
 
 
 def _predict(shared, sharpness: float, keep_text: bool):
@@ -211,20 +265,28 @@ def _choose(models: list[Model], texts: list[bytes | None], sharpness: float) ->
     return lang, score, bits
 
 
-def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sample_chars: int = 3000, sharpness: float = 8.0, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", max_order: int = 4, max_contexts: int = 4000, sample_docs: int = 150, sharpness: float = 8.0, keep_text: bool = False) -> DataFrame:
     """``row`` (a struct of all columns but the text, as c0, c1 ...), ``lang_pred, score, bits`` for every document, and its ``text`` if asked for."""
     learned = docs.filter(learn_from) if learn_from is not None else docs
-    samples = sample(learned, text, lang, sample_docs, sample_chars)
-    shared = docs.sparkSession.sparkContext.broadcast(train_all(samples, max_order, max_contexts))
+    trees = learn(sample(learned, text, lang, sample_docs), max_order, max_contexts)
+    shared = docs.sparkSession.sparkContext.broadcast(frozen_all(trees, max_order))
     rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").cast("binary").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predict(shared, sharpness, keep_text), f"row {kind}, lang_pred string, score double, bits double" + ", text binary" * keep_text)
 
 
-def in_known_language(docs: DataFrame, text: str = "text", lang: str = "lang", **params) -> DataFrame:
-    """The rows of ``docs`` that are in some learned language: all but ``und``. Columns stay as they are."""
+def in_known_language(docs: DataFrame, text: str = "text", lang: str = "lang", languages: Sequence[str] | None = None, min_score: float = 0.0, max_bits: float = 8.0, **params) -> DataFrame:
+    """The rows of ``docs`` that are in one of ``languages`` (any learned one, if not given). Columns stay as they are.
+
+    A row goes if it is ``und``, if its language is another, if the language's ``score`` is below ``min_score``, or if
+    its code length is over ``max_bits`` a byte: eight are what a byte costs without any model, so a text over that is
+    not in the language named, only nearest to it.
+    """
     found = identify(docs, None, text, lang, keep_text=True, **params).filter("lang_pred <> 'und'")
+    found = found.filter((F.col("score") >= min_score) & (F.col("bits") <= max_bits))
+    if languages is not None:
+        found = found.filter(F.col("lang_pred").isin(list(languages)))
     return found.select(*[F.col("text").cast("string").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

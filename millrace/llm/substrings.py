@@ -44,6 +44,7 @@ from .wordhash import Sequences, U, Words, mix, slices, texts_of
 
 WIDTH = 50
 CAPS = (1, 1, 2)
+SALTS = 32
 #: Places of marks that stand for all windows of a unit and for a whole document.
 UNIT, WHOLE = -1, -2
 _BASES = (0xD6E8FEB86659FD93 & ~7 | 5, 0xA0761D6478BD642F & ~7 | 5)
@@ -252,10 +253,13 @@ def _repeats(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, width: i
     units = scratch.keep(units)
     least = units.groupBy("symbol", "span").agg(F.min("doc").alias("first"))
     least = scratch.keep(least)
-    several = least.groupBy("symbol").agg(F.count("*").alias("spans")).filter("spans > 1").select("symbol")
+    several = least.groupBy("symbol").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low < high")
     key = F.col("symbol").bitwiseXOR(F.col("span")).alias("key")
     later = units.join(least, ["symbol", "span"]).filter("first < doc").select("doc", key, F.lit(UNIT).alias("place"))
-    ends = least.join(several, "symbol", "left_semi").select(F.col("first").alias("doc"), key)
+    # a very common symbol has many spans: its rows are dealt by span too, and the symbol is named to all of them
+    salt = F.pmod("span", F.lit(SALTS)).cast("int").alias("salt")
+    everywhere = several.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ends = least.select("*", salt).join(everywhere, ["symbol", "salt"], "left_semi").select(F.col("first").alias("doc"), key)
     wanted = rows.join(ends.groupBy("doc").agg(F.collect_set("key").alias("keys")), "doc").select("doc", "text", "keys")
     windows = scratch.keep(wanted.mapInArrow(_windows(width, caps), "w1 long, w2 long, doc long, key long, place int"))
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import decontam
@@ -7,17 +8,19 @@ from millrace.llm import decontam
 ALPHABET = "abcdefgh é"
 
 
-def distance_inside(pattern, text):
-    """Least edit distance of the pattern to any part of the text, by the full table."""
-    row = list(range(len(pattern) + 1))
-    best = row[-1]
+def near_any(segments, text, budget):
+    """Whether a segment (all of one length) is within the budget of any part of the text, by the full tables."""
+    own = np.array([[ord(c) for c in s] for s in segments])
+    ramp = np.arange(own.shape[1] + 1)
+    row = np.repeat(ramp[None], len(own), 0)
     for c in text:
-        new = [0]
-        for i, p in enumerate(pattern, 1):
-            new.append(min(row[i - 1] + (p != c), row[i] + 1, new[i - 1] + 1))
-        row = new
-        best = min(best, row[-1])
-    return best
+        new = row.copy()
+        new[:, 0] = 0
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (own != ord(c)))
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        if row[:, -1].min() <= budget:
+            return True
+    return bool(row[:, -1].min() <= budget)
 
 
 def brute(items, text, length=64, edits=4, least=24):
@@ -33,13 +36,11 @@ def brute(items, text, length=64, edits=4, least=24):
             continue
         m = min(length, len(b))
         budget = min(edits, m * edits // length)
-        for at in range(len(b) - m + 1):
-            seg = b[at : at + m]
-            # one of budget + 1 pieces of a match is exact: spares most tables
-            cut = [seg[m * k // (budget + 1) : m * (k + 1) // (budget + 1)] for k in range(budget + 1)]
-            if any(c in body for c in cut) and distance_inside(seg, body) <= budget:
-                out.add(item)
-                break
+        segments = [b[at : at + m] for at in range(len(b) - m + 1)]
+        # one of budget + 1 pieces of a match is exact: spares most tables
+        segments = [s for s in segments if any(s[m * k // (budget + 1) : m * (k + 1) // (budget + 1)] in body for k in range(budget + 1))]
+        if segments and near_any(segments, body, budget):
+            out.add(item)
     return sorted(out)
 
 

@@ -77,8 +77,29 @@ def test_held_out_accuracy(spark):
 def test_copies_count_once_in_the_sample(spark):
     docs = [(f"text {'abcdefghij'[i]}", "x") for i in range(10) for _ in range(200)]
     df = spark.createDataFrame(docs, "text string, lang string")
-    got = langid.sample(df, "text", "lang", sample_docs=8, sample_chars=3000)
-    assert len(got["x"]) == len(set(got["x"])) == 8
+    got = [r.text for r in langid.sample(df, "text", "lang", sample_docs=8).collect()]
+    assert len(got) == len(set(got)) == 8
+
+
+@pytest.mark.parametrize("max_order,max_contexts", [(0, 10), (3, 40), (4, 4000)])
+def test_counts_are_those_of_the_definition(spark, max_order, max_contexts):
+    docs = [("Abra cadabra 12", "x"), ("abra", "x"), ("été à\tcôté", "y"), ("12 - !", "y"), ("a", "y"), ("long " * 3000, "x")]
+    got = langid.learn(spark.createDataFrame(docs, "text string, lang string").repartition(3), max_order, max_contexts)
+    for lang in "xy":
+        assert got[lang] == langid.context_tree([langid.tidy(t) for t, k in docs if k == lang and langid._LETTER.search(t)], max_order, max_contexts)
+
+
+def test_the_stage_rejects_by_language_score_and_code_length(spark):
+    rng = random.Random(9)
+    words = {"x": ["abra", "cadabra", "simsala", "bim"], "y": ["été", "côté", "forêt", "où"]}
+    docs = [(k, " ".join(rng.choice(words["xy"[k % 2]]) for _ in range(30)), "xy"[k % 2]) for k in range(40)]
+    docs += [(50, "это написано на другом языке", None), (51, "12 !", "x"), (52, None, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    kept = lambda **how: sorted(r.doc_id for r in langid.in_known_language(df, **how).collect())
+    assert kept() == list(range(40))
+    assert kept(languages=["y"]) == list(range(1, 40, 2))
+    assert kept(max_bits=99.0) == [*range(40), 50]
+    assert kept(min_score=1.1) == []
 
 
 def test_every_language_is_learned(spark):

@@ -6,7 +6,7 @@ from millrace.llm import decontam, langid, mixing
 
 from .test_decontam import brute as brute_contaminated
 from .test_mixing import brute as brute_mix
-from .test_simhash import brute_components, brute_fingerprint
+from .test_neardup import brute as brute_similar
 from .test_substrings import brute as brute_repeats
 
 
@@ -40,7 +40,7 @@ def corpus(rng):
 
 def brute(docs, bench):
     docs = [d for d in docs if d[1] and langid._LETTER.search(d[1])]
-    root = brute_components({d[0]: brute_fingerprint(d[1]) for d in docs})
+    root = brute_similar(sorted((d[0], d[1]) for d in docs))
     docs = [d for d in docs if root[d[0]] == d[0]]
     cut = {r[0]: r for r in brute_repeats([(d[0], d[1]) for d in docs])}
     docs = [d if not cut[d[0]][2] else (d[0], cut[d[0]][3], d[2], d[3], len(cut[d[0]][3])) for d in docs]
