@@ -2,7 +2,8 @@
 
 Vectors that take part (no null, not zero, all components finite) are first reduced to distinct ones, each with the few
 smallest ids that any answer can need, so copies neither crowd the graphs nor fill a task. Distinct vectors are dealt
-by hash into shards of about ``shard_rows``. A shard's hierarchical graph is built in one task and stored as a row of
+by hash into shards: as many as the cluster works on at once, of ``shard_rows`` at least and ``shard_bytes`` at most, so
+that their number, and with it the cost of a query, grows with memory limits only. A shard's hierarchical graph is built in one task and stored as a row of
 flat arrays: the vectors, and per level the neighbours of each node in a matrix with a fixed number of places. All rows
 are indexed.
 
@@ -12,8 +13,9 @@ and one batch however many queries there are. Shard results are scored again fro
 precision and merged by a window that keeps the best ``k`` before its shuffle.
 
 Nulls and edge cases: vectors that take no part neither ask nor are found; vectors of another length than the query
-are not found by it; repeated rows (equal id and vector) count once; a query never finds its own id; ties go to the
-smaller id; fewer candidates than ``k`` give fewer rows; an empty table gives an empty result; other columns are ignored.
+are not found by it; repeated rows (equal id and vector) count once; rows of one id with different vectors ask and are
+found each on its own; a query never finds its own id; very small and very large components are scaled by powers of two
+before they are squared; ties go to the smaller id; fewer candidates than ``k`` give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ class Graph:
                     break
                 score = self.vectors[around] @ query
                 k = int(score.argmax())
-                if score[k] <= best:
+                if not score[k] > best:
                     break
                 best, node = float(score[k]), int(around[k])
         return node
@@ -183,7 +185,13 @@ class Graph:
         return self
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between a half and one. Exact; squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -223,23 +231,25 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = 6000, links: int = 16, breadth: int = 96) -> DataFrame:
+def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = 6000, shard_bytes: int = 64 << 20, links: int = 16, breadth: int = 96) -> DataFrame:
     """One row of flat arrays per shard (and vector length). Settled: a lost executor costs a re-read, no rebuild."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
     # -0.0 and 0.0 are one number; equal vectors keep the k + 1 smallest ids, all that an answer can name
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("v"))
-    first = F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))
-    few = rows.withColumn("place", first).filter(F.col("place") <= k + 1).dropDuplicates(["h", "v", "id"])
+    first = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
+    few = rows.dropDuplicates(["h", "v", "id"]).withColumn("place", first).filter(F.col("place") <= k + 1)
     distinct = settle(few.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n, size = distinct.agg(F.count("*"), F.sum(F.lit(8).cast("long") * F.size("v"))).first()
+    at_once = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    shards = max(1, min(-(-n // shard_rows), at_once), -(-(size or 0) // shard_bytes))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).select("shard", "v", "ids")
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard")
     return settle(dealt.mapInArrow(_build(links, breadth), _INDEX))
 
 
 def _search(k: int, links: int, breadth: int):
-    schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("vector", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, graphs = None, {}
@@ -257,10 +267,12 @@ def _search(k: int, links: int, breadth: int):
                 if len(q) not in graphs:
                     continue
                 vectors, graph, ids = graphs[len(q)]
-                found = graph.search(_unit(q[None])[0].astype(np.float32), k + 1, breadth)  # one may be the query itself
-                own = vectors[found]
+                found = graph.search(_unit(q[None])[0].astype(np.float32), breadth, breadth)
+                own, q = _scaled(vectors[found]), _scaled(q[None])[0]
                 score = (own * q).sum(axis=1) / (np.sqrt((own * own).sum(axis=1)) * np.sqrt((q * q).sum()))
-                out += [{"query": row["query"], "vec_id": i, "score": float(s)} for x, s in zip(found, score, strict=True) for i in ids[x] if i != row["query"]]
+                # own ids are left out before the best are taken, as they may fill the first places
+                near = [(-float(s), i) for x, s in zip(found, score, strict=True) for i in ids[x] if i != row["query"]]
+                out += [{"query": row["query"], "vector": row["vector"], "vec_id": i, "score": -s} for s, i in sorted(near)[:k]]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
@@ -269,14 +281,14 @@ def _search(k: int, links: int, breadth: int):
 def search(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, links: int = 16, breadth: int = 160) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each query, over all shards."""
     ask = queries.select(F.col(vec_id).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v"))
-    ask = ask.filter(F.col("query").isNotNull() & usable(F.col("v"))).distinct()
+    ask = ask.filter(F.col("query").isNotNull() & usable(F.col("v"))).distinct().withColumn("vector", F.xxhash64("v"))
     shards = index.agg(F.max("shard")).first()[0]
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards if shards is not None else 0)))
-    whole = index.select("shard", F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"), F.struct("dim", "entry", "level", "near", "width", "vectors", "ids").alias("index"))
-    asked = ask.select(everywhere.alias("shard"), "query", "v").withColumn("index", F.lit(None).cast(whole.schema["index"].dataType))
+    whole = index.select("shard", F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("long").alias("vector"), F.struct("dim", "entry", "level", "near", "width", "vectors", "ids").alias("index"))
+    asked = ask.select(everywhere.alias("shard"), "query", "v", "vector").withColumn("index", F.lit(None).cast(whole.schema["index"].dataType))
     together = whole.unionByName(asked).repartitionById((shards or 0) + 1, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
-    found = together.mapInArrow(_search(k, links, breadth), "query long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found = together.mapInArrow(_search(k, links, breadth), "query long, vector long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query", "vector").orderBy(F.desc("score"), "vec_id"))
     ranked = found.withColumn("rank", best).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int"), "vec_id", "score")
 

@@ -61,3 +61,36 @@ def test_edge_cases(spark):
         100: [(1, 0, 1.0), (2, 1, 1.0), (3, 1001, 1.0), (4, 1003, 1.0), (5, 1005, 1.0)],
     }
     assert ann.search(ann.build_index(df.limit(0)), df.limit(0)).count() == 0
+
+
+def test_tiny_and_huge_vectors_take_part(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 6))
+    scale = np.ones((400, 1))
+    scale[[3, 50, 100]], scale[[7, 51, 150]] = 1e-200, 1e200
+    vectors = base * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(400, [5e-324] + [0.0] * 5)], "vec_id long, embedding array<double>")
+    rows = ann.search(ann.build_index(df, shard_rows=150), df.filter("vec_id % 50 = 0")).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    unit = np.vstack([unit, [1, 0, 0, 0, 0, 0]])
+    hits = 0
+    for i in range(0, 401, 50):
+        own = sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)
+        cosine = unit @ unit[i]
+        cosine[i] = -2
+        want = np.argsort(-cosine)[:5].tolist()
+        assert [r.rank for r in own] == [1, 2, 3, 4, 5] and all(abs(r.score - cosine[r.vec_id]) < 1e-9 for r in own)
+        hits += len(set(want) & {r.vec_id for r in own})
+    assert hits >= 43
+
+
+def test_one_id_with_two_vectors_asks_twice(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    rows = ann.search(ann.build_index(df), df.filter("vec_id = 0"), k=1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 1), (0, 1, 2)]
+
+
+def test_many_vectors_of_the_queries_own_id_hide_nobody(spark):
+    df = spark.createDataFrame([(0, [1.0, k / 1000]) for k in range(60)] + [(1, [1.0, 0.2]), (2, [0.2, 1.0])], "vec_id long, embedding array<double>")
+    rows = ann.search(ann.build_index(df), df.filter("vec_id = 0"), k=2).collect()
+    assert len(rows) == 120 and {r.vec_id for r in rows if r.rank == 1} == {1}
