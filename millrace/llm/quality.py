@@ -10,8 +10,9 @@ cannot swap. A pattern's posterior is the soft label of its texts.
 
 Scorer. Features are word hashes, hashes of word shapes (letters, capitals, digits and other signs, runs collapsed),
 pairs of shapes, and repeats of the word before; a feature's value is its share of the text's words. Logistic regression
-is fitted to the soft labels of a sample of about ``sample_docs`` texts, chosen by a hash of id and text (a documented
-bound: the only place where rows are left out), and scores every document.
+is fitted to the soft labels of at most ``sample_docs`` different texts, chosen by a hash of the text (a documented
+bound: the only place where rows are left out), and scores every document. Texts and their features stay in the tasks:
+each round of the fit sums the gradient there, and the driver sees ``PARTS`` vectors of fixed length.
 
 Nulls and edge cases: a null or empty text has score and posterior 0 and is not kept; if no document has words, nothing
 is fitted and all scores are the posteriors; repeated rows get equal results; an empty table gives an empty result; only
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 from .wordhash import SPACE, U, Words, mix, slices, texts_of
 
 BITS = 18
+PARTS = 8
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 _KIND = np.full(256, 3, np.uint8)  # 0 space, 1 small letter or non-ASCII, 2 capital, 3 other sign, 4 digit, 5 ends of clauses
@@ -115,7 +117,7 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> Batch:
 
 
 def _shapes(kind: np.ndarray, words: Words) -> np.ndarray:
-    """A hash of each word's kinds of bytes, runs collapsed: the first eight changes and the last byte."""
+    """A hash of each word's kinds of bytes, runs collapsed."""
     if not len(words.start):
         return words.hash
     change = np.ones(len(kind), bool)
@@ -125,8 +127,7 @@ def _shapes(kind: np.ndarray, words: Words) -> np.ndarray:
     at = np.flatnonzero(change)
     head = np.searchsorted(at, words.start)
     place = np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))
-    code = np.where(place < 8, kind[at].astype(U) << (U(3) * np.minimum(place, 8).astype(U)), U(0))
-    return mix(np.add.reduceat(code, head) + (kind[words.stop - 1].astype(U) << U(40)))
+    return mix(np.add.reduceat(mix(place.astype(U) * U(8) + kind[at].astype(U)), head))
 
 
 def votes(batch: Batch) -> np.ndarray:
@@ -197,19 +198,45 @@ def score(weights: np.ndarray, bias: float, batch: Batch) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by AdaGrad. A row is its buckets, their shares and its soft label."""
-    weights, seen, bias, seen_bias = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), 0.0, 1e-6
-    rng = np.random.default_rng(3)
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            at, share, label = rows[k]
-            p = 1 / (1 + np.exp(-np.clip(bias + weights[at] @ share, -50, 50)))
-            g = (p - label) * share + decay * weights[at]
-            seen[at] += g * g
-            weights[at] -= rate * g / np.sqrt(seen[at])
-            seen_bias += (p - label) ** 2
-            bias -= rate * (p - label) / np.sqrt(seen_bias)
+def step(weights: np.ndarray, bias: float, seen: np.ndarray, gradient: np.ndarray, n: float, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray]:
+    """One round of AdaGrad over all rows; the last place of the vectors is the bias."""
+    g = gradient / n
+    g[:-1] += decay * weights
+    seen = seen + g * g
+    move = rate * g / np.sqrt(seen)
+    return weights - move[:-1], bias - float(move[-1]), seen
+
+
+def _gradient(shared):
+    """Each task's sum of the rows' gradients, one row of fixed length, and the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        out, n = np.zeros(len(weights) + 1), 0
+        for batch in batches:
+            for at, share, label in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                at, share = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(share.as_buffer(), np.float32)
+                p = 1 / (1 + np.exp(-np.clip(bias + weights[at] @ share, -50, 50)))
+                out[at] += (p - label) * share
+                out[-1] += p - label
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([n])], names=["gradient", "n"])
+
+    return run
+
+
+def fit_scorer(rows: DataFrame, rounds: int) -> tuple[np.ndarray, float] | None:
+    """Weights and bias for ``at, share, label`` rows; None if there are none."""
+    context = rows.sparkSession.sparkContext
+    weights, bias, seen = np.zeros(1 << BITS), 0.0, np.full((1 << BITS) + 1, 1e-12)
+    for _ in range(rounds):
+        shared = context.broadcast((weights, bias))
+        parts = rows.mapInArrow(_gradient(shared), "gradient binary, n long").collect()
+        n = sum(r["n"] for r in parts)
+        if not n:
+            return None
+        weights, bias, seen = step(weights, bias, seen, sum(np.frombuffer(r["gradient"], np.float64) for r in parts), n)
+        shared.unpersist()
     return weights, bias
 
 
@@ -255,7 +282,14 @@ def _scores(shared, threshold: float):
     return run
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4000, threshold: float = 0.5) -> DataFrame:
+def sample(rows: DataFrame, sample_docs: int) -> DataFrame:
+    """At most ``sample_docs`` different texts, those of the least hashes; copies of a text count once."""
+    hashed = rows.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    chosen = settle(hashed.select("h").distinct().orderBy("h").limit(sample_docs))
+    return hashed.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text").coalesce(PARTS)  # at most sample_docs
+
+
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4000, threshold: float = 0.5, rounds: int = 40) -> DataFrame:
     """``doc_id, quality, weak_label, keep`` for every document."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
@@ -264,13 +298,8 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     vote = known[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     count = np.array([r[1] for r in found], float)
     model = fit_labels(vote, count) if len(found) else LabelModel(0.5, np.full((2, len(LABELLERS)), 0.8))
-    share = min(1.0, sample_docs / max(count.sum(), 1))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007)) / 1_000_000_007
-    chosen = rows.filter(place < share).select("text").mapInArrow(_sampled(model), "at binary, share binary, label double").collect()
-    chosen = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in chosen)
-    weights, bias = None, 0.0
-    if chosen:
-        weights, bias = fit_scorer([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(float), y) for a, b, y in chosen])
+    fitted = settle(sample(rows, sample_docs).mapInArrow(_sampled(model), "at binary, share binary, label double"))
+    weights, bias = fit_scorer(fitted, rounds) or (None, 0.0)
     return rows.mapInArrow(_scores(sc.broadcast((model, weights, bias)), threshold), "doc_id long, quality double, weak_label double, keep boolean")
 
 

@@ -66,3 +66,50 @@ def test_edge_cases(spark):
     assert all(0 <= r.quality <= 1 for r in rows)
     assert q.classify(df.limit(0)).count() == 0
     assert {r.keep for r in q.classify(df.limit(3)).collect()} == {False}
+
+
+def test_shapes_tell_late_changes_apart():
+    a, b = _batch(["a1b2c3d4e5f6 "]), _batch(["a1b2c3d4e5.6 "])
+    assert a.shape[0] != b.shape[0]
+
+
+def test_the_sample_is_bounded_and_counts_copies_once(spark):
+    docs = [("same text here",)] * 500 + [(f"text {i}",) for i in range(40)] + [(None,)]
+    rows = spark.createDataFrame(docs, "text string").select(F.col("text").cast("binary"))
+    got = [bytes(r.text) for r in q.sample(rows, 10).collect()]
+    assert len(got) == len(set(got)) == 10
+    assert q.sample(rows, 1000).count() == 41
+
+
+def test_scores_match_a_plain_fit(spark):
+    """Labels, fit and scores again, a text at a time and with dense features."""
+    rng = np.random.default_rng(4)
+    good = ["the stone was on a quiet hill,", "and then they went home.", "water runs slowly by the old mill"]
+    bad = ["### !!! $$", "BUY BUY BUY", "x1 x1 x1 x1", "7 7 8 %%"]
+    texts = [" ".join(rng.choice(good if k % 3 else bad) for _ in range(rng.integers(1, 12))) for k in range(90)] + ["", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.quality, r.weak_label, r.keep) for r in q.classify(df, rounds=15).collect()}
+    one = [_batch([t or ""]) for t in texts]
+    votes = np.concatenate([q.votes(b) for b in one])
+    soft = q.fit_labels(votes, np.ones(len(votes))).posterior(votes)
+    x = np.zeros((len(texts), 1 << q.BITS), np.float32)
+    for k, b in enumerate(one):
+        for f in q.features(b):
+            for i in f:
+                x[k, i] += 1 / b.n[0]
+    fit = sorted({t: k for k, t in enumerate(texts) if t}.values())
+    weights, bias, seen = np.zeros(1 << q.BITS), 0.0, np.full((1 << q.BITS) + 1, 1e-12)
+    for _ in range(15):
+        p = 1 / (1 + np.exp(-(x[fit] @ weights + bias)))
+        gradient = np.r_[x[fit].T @ (p - soft[fit]), (p - soft[fit]).sum()]
+        g = gradient / len(fit)
+        g[:-1] += 1e-5 * weights
+        seen += g * g
+        weights, bias = weights - 0.5 * g[:-1] / np.sqrt(seen[:-1]), bias - 0.5 * g[-1] / np.sqrt(seen[-1])
+    want = 1 / (1 + np.exp(-(x @ weights + bias)))
+    for k, t in enumerate(texts):
+        if not t:
+            assert got[k] == (0.0, 0.0, False)
+        else:
+            assert abs(got[k][0] - want[k]) < 1e-3 and abs(got[k][1] - soft[k]) < 1e-9
+    assert 20 < sum(v[2] for v in got.values()) < 80
