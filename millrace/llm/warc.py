@@ -175,7 +175,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def reachable(nodes: DataFrame, step: int = 4) -> DataFrame:
+def reachable(nodes: DataFrame) -> DataFrame:
     """``file, start`` of the records on each file's chain from offset 0, by pointer jumping.
 
     ``nodes`` has ``file, start, succ``. After k rounds the first 2^k records of every file are known.
@@ -227,11 +227,13 @@ def read_archives(spark: SparkSession, path: str, broadcast_pieces: int = 50_000
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trip of all pages. The archives are removed once the records read from them are settled."""
+    """Round trip of all pages. The archives are removed once the records read from them are settled, or a step fails."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(table(spark, sf_dir, "pages"), path)
-    back = settle(read_archives(spark, path))
-    remove_path(spark, path)
+    try:
+        write_archives(table(spark, sf_dir, "pages"), path)
+        back = settle(read_archives(spark, path))
+    finally:
+        remove_path(spark, path)
     return back.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
