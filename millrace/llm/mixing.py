@@ -4,14 +4,15 @@
 2. Sources are put in code-point order and get repeating weights. A word budget is shared by weight; a source
    stops at ``max_rate`` times its size and its excess is shared again by weight until none is above. That end
    state is ``target = min(cap, level * weight)``; ``level`` is found by rounds of one small aggregate each.
-3. Every document is emitted ``floor(rate)`` times, plus once if a coin in [0, 1) that depends only on the seed and
-   its id is below the fraction of the rate.
+3. Every document is emitted ``floor(rate)`` times, plus once if a coin in [0, 1) that depends only on the seed, its
+   id and its text is below the fraction of the rate. So different documents that share an id, or have none, draw
+   coins of their own, and a source of them still comes near its target.
 
 The list of sources is joined by broadcast only if it has at most ``broadcast_sources`` rows; a longer list is
 joined by a shuffle, which adaptive execution splits where one source is hot.
 
-Nulls and edge cases: a null text has size 0; null sources form one group, last in order; rows with a null id share
-one coin; repeated rows each count and get the same number of copies; a source without words has target and rate 0;
+Nulls and edge cases: a null text has size 0; null sources form one group, last in order; rows of one id (or
+none) and one text share a coin; repeated rows each count and get the same number of copies; a source without words has target and rate 0;
 an empty table gives an empty result. Other columns of the input are kept as they are.
 """
 
@@ -31,9 +32,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from 52 bits of MD5 over seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def coin(doc_id: Column, text: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from 52 bits of MD5 over seed, id and the text's MD5."""
+    null = F.lit("null")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), null), F.lit(":"), F.coalesce(F.md5(text), null)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -73,13 +75,13 @@ def source_targets(sized: DataFrame, source: str, size: str, share: float = 1.5,
     return at.withColumn("target", target).withColumn("rate", rate).drop("_cap")
 
 
-def with_copies(docs: DataFrame, targets: DataFrame, source: str, doc_id: str, copies: str, seed: int = 0, broadcast_sources: int = 50_000) -> DataFrame:
-    """``docs`` with its source's row of ``targets`` and the number of copies to emit."""
+def with_copies(docs: DataFrame, targets: DataFrame, source: str, drawn: Column, copies: str, broadcast_sources: int = 50_000) -> DataFrame:
+    """``docs`` with its source's row of ``targets`` and the number of copies to emit; ``drawn`` is each row's coin."""
     small = targets.limit(broadcast_sources + 1).count() <= broadcast_sources
     targets = targets.withColumnRenamed("source", "_source")
     joined = docs.join(F.broadcast(targets) if small else targets, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
     whole = F.floor("rate")
-    return joined.withColumn(copies, (whole + (coin(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")).cast("long"))
+    return joined.withColumn(copies, (whole + (drawn < F.col("rate") - whole).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", share: float = 1.5, max_rate: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
@@ -92,17 +94,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     lean = targets.select("source", "rate")
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])  # no clash with our own names
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    counted = with_copies(inner, lean, at[source], at[doc_id], "_copies", seed)
+    counted = with_copies(inner, lean, at[source], coin(F.col(at[doc_id]), F.col(at[text]), seed), "_copies")
     many = counted.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     (copy,) = fresh(docs.columns, "copy")
     return many.select(*[F.col(at[c]).alias(c) for c in docs.columns], F.col("_copy").alias(copy))
 
 
-def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **params) -> DataFrame:
+def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0, **params) -> DataFrame:
     """Per document: id, size, its source's size and target, copies and words taken. The text is scanned once."""
-    sized = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_src"), word_count(F.col(text)).alias("size")))
+    drawn = coin(F.col(doc_id), F.col(text), seed).alias("_coin")
+    sized = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_src"), word_count(F.col(text)).alias("size"), drawn))
     targets = settle(source_targets(sized, "_src", "size", **params))
-    out = with_copies(sized, targets, "_src", "doc_id", "copies")
+    out = with_copies(sized, targets, "_src", F.col("_coin"), "copies")
     return out.select("doc_id", "size", "source_size", F.col("target").cast(T.DoubleType()), (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -114,7 +117,9 @@ def op3(spark, sf_dir):
 
 OP3_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
+  FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM sized GROUP BY source
 ), weighed AS (
@@ -129,10 +134,10 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, least(cap, lev * weight) AS target FROM filled, level
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+  SELECT s.doc_id, s.size, s.coin, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), drawn AS (
-  SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+  SELECT *, (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
   FROM rated
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM drawn

@@ -3,14 +3,19 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def coin(i, seed=0):
-    return int(hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+def md5(s):
+    return hashlib.md5(s.encode()).hexdigest()
+
+
+def coin(i, text, seed=0):
+    return int(md5(f"{seed}:{'null' if i is None else i}:{'null' if text is None else md5(text)}")[:13], 16) / 2**52
 
 
 def brute_targets(sizes, share=1.5, most=2.0, weights=(3, 1, 2)):
@@ -40,9 +45,9 @@ def brute(docs):
         sources[s] = sources.get(s, 0) + size[k]
     target = brute_targets(sources)
     out = []
-    for k, (i, _, s) in enumerate(docs):
+    for k, (i, text, s) in enumerate(docs):
         rate = target[s] / sources[s] if sources[s] else 0.0
-        n = math.floor(rate) + (coin(i) < rate - math.floor(rate))
+        n = math.floor(rate) + (coin(i, text) < rate - math.floor(rate))
         out.append((i, size[k], sources[s], target[s], size[k] * n, n))
     return out
 
@@ -73,10 +78,10 @@ def test_mix_emits_the_reported_copies(spark):
 
 
 def test_long_source_lists_are_joined_without_broadcast(spark):
-    df = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumn("size", mixing.word_count(__import__("pyspark").sql.functions.col("text")))
-    targets = mixing.source_targets(df, "source", "size")
-    a = mixing.with_copies(df, targets, "source", "doc_id", "copies").select("doc_id", "copies")
-    b = mixing.with_copies(df, targets, "source", "doc_id", "copies", broadcast_sources=2).select("doc_id", "copies")
+    df = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumn("size", mixing.word_count(F.col("text")))
+    targets, drawn = mixing.source_targets(df, "source", "size"), mixing.coin(F.col("doc_id"), F.col("text"))
+    a = mixing.with_copies(df, targets, "source", drawn, "copies").select("doc_id", "copies")
+    b = mixing.with_copies(df, targets, "source", drawn, "copies", broadcast_sources=2).select("doc_id", "copies")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
@@ -89,3 +94,12 @@ def test_many_sources_keep_code_point_order(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mix_report(df).count() == 0
+
+
+def test_sources_without_ids_or_with_one_id_come_near_their_targets(spark):
+    rows = [(None, f"word{k} again", "a") for k in range(3000)] + [(7, f"word{k} other", "b") for k in range(3000)]
+    rows += [(k, "x y", "c") for k in range(3000)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
+    by = got.groupBy(F.when(F.col("id") == -1, "a").when((F.col("id") == 7) & (F.col("size") == 2), "b").otherwise("c").alias("s"))
+    for r in by.agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.08), r
