@@ -115,6 +115,32 @@ def aggregate(frame: OrderedFrame, aggregates: Sequence[Agg], keys: Sequence[str
     return OrderedFrame(out.select(*kept), ordering)
 
 
+def aggregate_sets(frame: OrderedFrame, aggregates: Sequence[Agg], keys: Sequence[str], sets: str | Sequence[Sequence[str]], level: str = "grouping_id") -> OrderedFrame:
+    """Aggregates of several groupings in one pass: ``sets`` is "cube", "rollup" or a list of subsets of the keys.
+    ``level`` has a bit set for each key left out (the last key's is the lowest), as null may be a key's value too."""
+    names = [*keys, level, *[a.name for a in aggregates]]
+    if len(set(names)) != len(names):
+        raise Invalid(f"output names repeat: {names}")
+    functions = [_name(a.function) for a in aggregates]
+    if any(f not in _PLAIN for f in functions):
+        raise Invalid(f"several groupings take only {', '.join(_PLAIN)}")
+    for k in [*keys, *[a.target for a in aggregates if a.target is not None]]:
+        top_level(frame.data, k)
+    columns = [F.col(quoted(k)) for k in keys]
+    if isinstance(sets, str):
+        if sets not in ("cube", "rollup"):
+            raise Invalid(f"no kind of grouping {sets!r}")
+        grouped = getattr(frame.data, sets)(*columns)
+    else:
+        unknown = {k for s in sets for k in s} - set(keys)
+        if unknown:
+            raise Invalid(f"no keys: {sorted(unknown)}")
+        grouped = frame.data.groupingSets([[F.col(quoted(k)) for k in s] for s in sets], *columns)
+    made = [_PLAIN[f](F.col(quoted(a.target)) if a.target else None, a.options).alias(a.name) for a, f in zip(aggregates, functions, strict=True)]
+    out = grouped.agg(F.grouping_id().cast("long").alias(level), *made)
+    return OrderedFrame.unordered(out.select(*[F.col(quoted(n)) for n in names]))
+
+
 def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return a.crossJoin(b)  # one row each

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import Invalid
 from ..ordering import SEQ, OrderedFrame, Ordering, SortKey, quoted
@@ -65,3 +66,41 @@ def join(left: OrderedFrame, right: OrderedFrame, on: Sequence[str], how: str =
         renamed = renamed.withColumnRenamed(k, f"__k{i}")
         same = same & F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}"))
     return OrderedFrame.unordered(left.df.join(renamed, same, how).drop(*[f"__k{i}" for i in range(len(on))]))
+
+
+def theta_join(left: OrderedFrame, right: OrderedFrame, condition: Column | str, on: Sequence[str] = (), how: str = "inner", small_rows: int = 10_000) -> OrderedFrame:
+    """Rows that meet a condition, beside equality on ``on``, which the shuffle deals by. Without ``on`` every pair is
+    compared, so the right side must be counted to have at most ``small_rows`` rows and is broadcast; a larger one is refused."""
+    clash = (set(left.df.columns) & set(right.df.columns)) - set(on)
+    if clash:
+        raise Invalid(f"columns of both inputs: {sorted(clash)}")
+    test = F.expr(condition) if isinstance(condition, str) else condition
+    small = right.df
+    if not on:
+        if how not in ("inner", "left", "left_outer", "semi", "left_semi", "anti", "left_anti"):
+            raise Invalid(f"a join without equality cannot be {how!r}")
+        if small.limit(small_rows + 1).count() > small_rows:
+            raise Invalid(f"a join without equality needs a right side of at most {small_rows} rows")
+        return OrderedFrame.unordered(left.df.join(F.broadcast(small), test, how))
+    renamed = small
+    for i, k in enumerate(on):
+        renamed = renamed.withColumnRenamed(k, f"__k{i}")
+        test = test & (F.col(quoted(k)) == F.col(f"__k{i}"))
+    out = left.df.join(renamed, test, how)
+    if how in ("right", "right_outer", "full", "outer", "full_outer"):
+        for i, k in enumerate(on):
+            out = out.withColumn(k, F.coalesce(F.col(quoted(k)), F.col(f"__k{i}")))
+    return OrderedFrame.unordered(out.drop(*[f"__k{i}" for i in range(len(on))]))
+
+
+def analytic(frame: OrderedFrame, columns: dict[str, Column | str], keys: Sequence[str] = (), rows: tuple[int, int] | None = None) -> OrderedFrame:
+    """Window functions over each key's rows in the frame's order, all rows kept; ``rows`` bounds the window around each
+    row. ``keys`` should split the data: one key's rows meet in one task."""
+    if not frame.ordering.ordered:
+        raise Invalid("window functions need ordered input")
+    if not keys:
+        raise Invalid("window functions need keys; aggregates over all rows are a scalar aggregate")
+    over = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*frame.order_columns())
+    framed = over if rows is None else over.rowsBetween(*rows)
+    made = {n: (F.expr(c) if isinstance(c, str) else c).over(framed) for n, c in columns.items()}
+    return frame.with_data(frame.data.withColumns(made))

@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tdigest as td
-from ..operators.aggregate import Agg, aggregate
+from ..operators.aggregate import Agg, aggregate, aggregate_sets
 from ..operators.asof import Bounds, Keys, asof_join
 from ..operators.filter import filter_rows
 from ..operators.merge import sorted_merge
 from ..operators.pipes import Pipes
 from ..operators.pivot import Template, pivot_longer
-from ..operators.relational import fetch, intersect, join, order_by, project, subtract, union
+from ..operators.relational import analytic, fetch, intersect, join, order_by, project, subtract, theta_join, union
 from ..operators.write import WriteOptions, tee, write
 from ..ordering import OrderedFrame, Ordering, SortKey, numbered
 from ..sources import memory
 from ..sources.files import scan
 from ..sources.rows import frame_from_rows, rows_from_frame
+from ..sources.stream import stream_source
 from ..streaming.push import windowed
 from .registry import Declaration
 
@@ -260,6 +261,37 @@ def event_windows(spark, sf_dir):
     return out.select(F.col("window.start").alias("day"), "event_type", "n", "high")
 
 
+def grouping_sets(spark, sf_dir):
+    """Line items by flag, by status, by both and in all."""
+    rows = OrderedFrame.unordered(_read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
+    return aggregate_sets(rows, [Agg("sum", "l_linenumber", "total"), Agg("count_all", None, "n")], ["l_returnflag", "l_linestatus"], "cube").df
+
+
+def analytics(spark, sf_dir):
+    """Each event with its place among its user's, the event before, and the largest value of the last three."""
+    rows = project(_all_events(spark, sf_dir), {c: F.col(c) for c in ("event_id", "user_id", "value")})
+    placed = analytic(rows, {"place": F.row_number(), "before": F.lag("event_id")}, ["user_id"])
+    return analytic(placed, {"high": F.max("value")}, ["user_id"], (-2, 0)).df
+
+
+def theta(spark, sf_dir):
+    """Suppliers of a nation and the customers there that owe more."""
+    supplier = OrderedFrame.unordered(_read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal"))
+    customer = OrderedFrame.unordered(_read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal"))
+    return theta_join(supplier, customer, "c_acctbal < s_acctbal", ["nation"]).df.select("s_suppkey", "c_custkey", "nation")
+
+
+def streamed_source(spark, sf_dir):
+    """The nations pushed batch by batch, read as a stream into a table."""
+    held = _read(spark, sf_dir, "nation").orderBy("n_nationkey").toArrow().select(["n_nationkey", "n_name"])
+    base = _folder(spark)
+    stream, feed = stream_source(spark, held.schema, held.to_batches(max_chunksize=10), f"{base}/in", sequence="arrival")
+    feed.finish()
+    out = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def set_operations(spark, sf_dir):
     """Users who clicked and bought, and users who clicked and did not."""
     click, purchase = (project(_events(spark, sf_dir, k, "value"), {"user_id": F.col("user_id")}) for k in ("click", "purchase"))
@@ -324,6 +356,10 @@ QUERIES = {
     "typed_rows": typed_rows,
     "event_windows": event_windows,
     "set_operations": set_operations,
+    "grouping_sets": grouping_sets,
+    "window_functions": analytics,
+    "theta_join": theta,
+    "streamed_source": streamed_source,
     "segments_of_merge": segments_of_merge,
     "tdigest_reduced": tdigest_reduced,
     "tdigest_of_digests": tdigest_of_digests,
@@ -429,6 +465,10 @@ SELECT day, event_type, count(*) AS n, sum(event_id)::BIGINT AS sum_id FROM s GR
     "typed_rows": "SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, max(value) AS high FROM events GROUP BY ALL",
     "set_operations": "WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id, user_id IN (SELECT user_id FROM p) AS bought FROM c",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS grouping_id, sum(l_linenumber)::BIGINT AS total, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "window_functions": "SELECT event_id, user_id, value, row_number() OVER u::INTEGER AS place, lag(event_id) OVER u AS before, max(value) OVER (u ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS high FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id)",
+    "theta_join": "SELECT s_suppkey, c_custkey, s_nationkey AS nation FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal < s_acctbal",
+    "streamed_source": "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS arrival FROM nation",
     "segments_of_merge": """
 WITH m AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_type, event_id) AS k FROM events WHERE event_type IN ('click', 'purchase')),
 c AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY k) = event_type THEN 0 ELSE 1 END AS o FROM m),

@@ -55,10 +55,15 @@ def operators() -> dict[str, Callable]:
         "asofjoin": lambda inputs, **o: asof.asof_join(inputs[0], inputs[1:], **o),
         "sorted_merge": merge.sorted_merge,
         "aggregate": aggregate.aggregate,
+        "aggregate_sets": aggregate.aggregate_sets,
         "order_by": relational.order_by,
         "fetch": relational.fetch,
         "union": lambda inputs: relational.union(*inputs),
+        "intersect": lambda inputs, **o: relational.intersect(*inputs, **o),
+        "subtract": lambda inputs, **o: relational.subtract(*inputs, **o),
         "join": lambda inputs, **o: relational.join(*inputs, **o),
+        "theta_join": lambda inputs, **o: relational.theta_join(*inputs, **o),
+        "analytic": relational.analytic,
         "pipe_source": lambda pipes_, **o: pipes_.source(**o),
         "pipe_sink": lambda frame, pipes, **o: pipes.sink(frame, **o),
         "pipe_tee": lambda frame, pipes, **o: pipes.tee(frame, **o),
@@ -100,7 +105,7 @@ class Declaration:
         inputs = [i.frame(registry) if isinstance(i, Declaration) else i for i in self.inputs]
         if not inputs:
             return operator(**self.options)
-        many = self.name in ("asofjoin", "sorted_merge", "union", "join")
+        many = self.name in ("asofjoin", "sorted_merge", "union", "intersect", "subtract", "join", "theta_join")
         return operator(inputs if many else _single(inputs), **self.options)
 
 

@@ -131,7 +131,7 @@ def reader_source(spark: SparkSession, reader: pa.RecordBatchReader | None, exec
 
 
 def source(spark: SparkSession, schema, generator: Iterable | Callable[[], Iterable], ordering: Ordering | str = "unordered") -> OrderedFrame:
-    """A bounded generator of record batches with the ordering it declares. Unbounded ones: ``streaming.push``."""
+    """A bounded generator of record batches with the ordering it declares. Unbounded ones: ``stream.stream_source``."""
     return batch_source(spark, schema, generator, ordering=ordering)
 
 

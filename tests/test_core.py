@@ -332,3 +332,73 @@ def test_chunks_of_text_follow_the_order(spark):
     data, chunk = chunked(frame, 10)
     got = [r[1] for r in data.select("w", chunk).orderBy("w").collect()]
     assert got == sorted(got) and 5 < len(set(got)) <= 10
+
+
+def test_theta_join(spark):
+    left = OrderedFrame.unordered(spark.createDataFrame([(1, 10), (2, 5), (None, 7)], "k long, x long"))
+    right = OrderedFrame.unordered(spark.createDataFrame([(1, 3), (1, 30), (3, 1), (None, 1)], "k long, y long"))
+    rows = lambda f: sorted(map(tuple, f.df.collect()), key=repr)
+    assert rows(m.theta_join(left, right, "y < x", ["k"])) == [(1, 10, 3)]
+    assert rows(m.theta_join(left, right, F.col("y") < F.col("x"), ["k"], "left")) == [(1, 10, 3), (2, 5, None), (None, 7, None)]
+    assert (3, None, 1) in rows(m.theta_join(left, right, "y < x", ["k"], "full"))
+    free = OrderedFrame.unordered(right.df.select("y"))
+    assert rows(m.theta_join(left, free, "y > x")) == [(1, 10, 30), (2, 5, 30), (None, 7, 30)]
+    assert rows(m.theta_join(left, free, "y > x", how="anti")) == []
+    with pytest.raises(Invalid):
+        m.theta_join(left, free, "y > x", small_rows=3)
+    with pytest.raises(Invalid):
+        m.theta_join(left, free, "y > x", how="full")
+    with pytest.raises(Invalid):
+        m.theta_join(left, right, "y > x")
+
+
+def test_groupings(spark):
+    rows = [("a", "x", 1), ("a", None, 2), ("b", "x", 4)]
+    f = OrderedFrame.unordered(spark.createDataFrame(rows, "p string, q string, v long"))
+    total = [Agg("sum", "v", "total")]
+    found = lambda sets: {tuple(r) for r in m.aggregate_sets(f, total, ["p", "q"], sets).df.collect()}
+    fine = {("a", "x", 0, 1), ("a", None, 0, 2), ("b", "x", 0, 4)}
+    by_p, by_q = {("a", None, 1, 3), ("b", None, 1, 4)}, {(None, "x", 2, 5), (None, None, 2, 2)}
+    assert found("cube") == fine | by_p | by_q | {(None, None, 3, 7)}
+    assert found("rollup") == fine | by_p | {(None, None, 3, 7)}
+    assert found([["p"], ["q"]]) == by_p | by_q
+    for bad in ("all", [["v"]]):
+        with pytest.raises(Invalid):
+            m.aggregate_sets(f, total, ["p", "q"], bad)
+    with pytest.raises(Invalid):
+        m.aggregate_sets(f, [Agg("tdigest", "v", "d")], ["p"], "cube")
+
+
+def test_analytic(spark):
+    f = OrderedFrame.implicit(spark.createDataFrame([(1, "a", 5), (2, "b", 1), (3, "a", 2), (4, "a", 9)], "i long, k string, v long"), by=["i"])
+    out = m.analytic(m.analytic(f, {"place": F.row_number()}, ["k"]), {"low": "min(v)"}, ["k"], (-1, 0))
+    assert [tuple(r) for r in out.sorted().collect()] == [(1, "a", 5, 1, 5), (2, "b", 1, 1, 1), (3, "a", 2, 2, 2), (4, "a", 9, 3, 2)]
+    with pytest.raises(Invalid):
+        m.analytic(f, {"n": "count(*)"})
+    with pytest.raises(Invalid):
+        m.analytic(OrderedFrame.unordered(f.df), {"n": "count(*)"}, ["k"])
+
+
+def test_stream_source(spark, tmp_path):
+    schema = pa.schema([("x", pa.int32()), ("t", pa.string())])
+    batch = lambda *v: pa.RecordBatch.from_pydict({"x": list(v), "t": [str(i) for i in v]}, schema=schema)
+    generator = push.PushGenerator()
+    stream, feed = m.stream_source(spark, schema, generator, str(tmp_path / "in"), "n", batches_per_trigger=1)
+    seen = []
+    start = lambda: stream.writeStream.foreachBatch(lambda b, i: seen.append([tuple(r) for r in b.orderBy("n").collect()])).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    generator.push(batch(5, 4))
+    generator.push(batch())
+    generator.push(batch(7))
+    with pytest.raises(TimeoutError):
+        feed.finish(0.1)
+    generator.close()
+    assert feed.finish() == 3
+    start()
+    assert sum(seen, []) == [(5, "5", 0), (4, "4", 1), (7, "7", 2)] and max(map(len, seen)) == 2
+    start()  # nothing is read twice
+    assert len(sum(seen, [])) == 3
+    _, broken = m.stream_source(spark, schema, [batch(1), pa.RecordBatch.from_pydict({"y": [1]})], str(tmp_path / "bad"))
+    with pytest.raises(Invalid):
+        broken.finish()
+    with pytest.raises(Invalid):
+        m.stream_source(spark, schema, [], str(tmp_path / "clash"), "x")
