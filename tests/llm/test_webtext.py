@@ -48,6 +48,21 @@ def test_text_around_an_article_is_judged_by_the_host(spark):
     assert {r.page_id: r.text for r in webtext.extract(df).collect()} == {k: f"{shell}\n\n{k} only here" for k in range(3)}
 
 
+@pytest.mark.parametrize("shard_tokens", [500_000, 12])
+def test_every_page_meets_its_host(spark, shard_tokens):
+    shell, story = "one two three four five six seven eight nine", "a story of eleven words that two pages of it have"
+    pages = [
+        (1, f"<div>{shell}</div><article><p>{story}</p><p>own</p></article>"),
+        (2, f"<p>{story}</p><main><p>{story}</p></main><div>{shell}</div>"),
+        (3, f"<div>{shell}</div><p>no container but text</p>"),
+        (4, f"<p>{story[2:]} too</p>"),  # shares its text with what stands beside the container of page 2
+        (5, "<article>of its own</article>"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in pages] + [(6, "http://other.example/", f"<div>{shell}</div>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_shared) for r in webtext.extract(df, shard_tokens=shard_tokens).collect()}
+    assert got == {1: (f"{story}\n\nown", 20), 2: (story, 30), 3: ("no container but text", 9), 4: ("too", 10), 5: ("of its own", 0), 6: (shell, 0)}
+
+
 def test_suffix_array_groups_equal_strings():
     rng = random.Random(3)
     for length in (1, 2, 3, 5, 8):
