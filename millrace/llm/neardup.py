@@ -4,15 +4,20 @@ Shingles. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of few
 without words, or null, has none. Shingles are compared by 64-bit hashes. Texts of equal sets form a class, which is one
 row from there on, so groups of exact copies of any size cost one row.
 
-Candidates. ``BANDS`` keys of ``ROWS`` minima each are taken over a class's set; classes that share a key are candidates.
+Candidates of the trie. Each class has its text's SimHash over the same shingles (``simhash.fingerprint``). Classes of equal
+fingerprints are candidates of the least of them, and the trie self-join (``simhash.hamming_forest``) gives a spanning
+forest of those that differ in at most ``DISTANCE`` bits. A pair of similarity 0.8 differs in about 10 bits, more than
+a trie can prune by, so it cannot give all candidates.
+
+Candidates for the rest. ``BANDS`` keys of ``ROWS`` minima each are taken over a class's set; classes that share a key are candidates.
 A pair of similarity 0.8 shares no key with a chance of (1 - 0.8^4)^32 < 5e-8, a more similar one with less. Texts that
 merely share a passage are candidates too, so two sketches go along with a class and leave most of them: four bits of
 each of ``SKETCH`` minima, of which a pair of similarity 0.8 has 52 of 64 equal on average and fewer than ``AGREE`` with
 a chance below 1e-7; and the parities of ``PARITIES`` buckets of shingles, of which a pair can differ in no more than
 its sets do, a ninth of both sizes at similarity 0.8.
 
-Links. Every link is verified on the whole sets, which only classes of such pairs have made. First each class is held
-against the least and the greatest class of its keys, which joins most. Then rounds hold each class against the most
+Links. Every link is verified on the whole sets, which only classes of such pairs have made. First the trie's
+candidates are, and each class is held against the least and the greatest class of its keys, which joins most. Then rounds hold each class against the most
 promising class of another component in each of its keys, until no round joins any; and last all candidates that are
 still in different components and were not compared are. So every candidate pair of similarity 0.8 ends in one
 component, and a tight group costs no square. Nothing is capped.
@@ -30,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, settle
 from .components import connected_components, joined_components
-from .simhash import keep_first
+from .simhash import fingerprint, hamming_forest, keep_first
 from .wordhash import Sequences, U, Words, mix, slices, texts_of
 
 SHINGLE = 5
+DISTANCE = 3
 BANDS, ROWS = 32, 4
 SKETCH, AGREE, PARITIES = 64, 34, 512
 SIGNS = [f"s{k}" for k in range(SKETCH // 16 + PARITIES // 64)]
@@ -65,8 +71,10 @@ def shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of each row, the size of its set, its sketch and its keys; the empty set has no keys."""
+    """The class of each row, the size of its set, its fingerprint, its sketch and its keys; the empty set has no keys."""
     for batch in batches:
+        texts = batch.column(1).cast(pa.binary())
+        fp = np.fromiter((fingerprint(t.as_py() or b"", SHINGLE) for t in texts), U, len(texts))
         classes, sizes, keys, sketches = [], [], [], []
         for value, head in shingles(batch.column(1)):
             n = np.diff(head)
@@ -95,8 +103,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int64)))
         cls = np.concatenate(classes).view(np.int64) if classes else np.zeros(0, np.int64)
         sketch = np.concatenate(sketches, axis=1).view(np.int64) if sketches else np.zeros((len(SIGNS), 0), np.int64)
-        columns = [batch.column(0), batch.column(2), pa.array(cls), pa.array(n.astype(np.int64)), *map(pa.array, sketch), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "cls", "n", *SIGNS, "keys"])
+        columns = [batch.column(0), batch.column(2), pa.array(cls), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), *map(pa.array, sketch), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "cls", "n", "fp", *SIGNS, "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +208,19 @@ def _apart(batches: Iterator[pa.RecordBatch], every: bool, rows: int = 1 << 17,
         yield from pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
 
+def trie_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` of classes (``cls, fp``); their components are those of all pairs within ``DISTANCE`` bits."""
+    first = scratch.keep(classes.groupBy("fp").agg(F.min("cls").alias("first")))
+    equal = classes.join(first, "fp").select(F.col("first").alias("a"), F.col("cls").alias("b")).filter("a <> b")
+    near = hamming_forest(first, "fp", DISTANCE)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_")), end)
+    near = near.select("a_", "b_").toDF("a", "b")
+    return scratch.keep(equal.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id`` for every row; ids must not be null."""
+    """``doc_id, h, component_id`` for every row, ``h`` being its text's ``xxhash64``; ids must not be null."""
     with Scratch(docs.sparkSession) as scratch:
         return settle(_near_duplicates(docs, scratch, doc_id, text))
 
@@ -209,11 +228,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    prints = scratch.keep(rows.mapInArrow(_signatures, f"doc_id long, h long, cls long, n long, {', '.join(f'{c} long' for c in SIGNS)}, keys array<long>"))
+    prints = scratch.keep(rows.mapInArrow(_signatures, f"doc_id long, h long, cls long, n long, fp long, {', '.join(f'{c} long' for c in SIGNS)}, keys array<long>"))
     first = prints.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     # a class is one row: copies bring the same set, so any of its smallest document's rows will do
     classes = prints.join(first, ["cls", "doc_id"]).dropDuplicates(["cls"])
-    classes = scratch.keep(classes.select("cls", "doc_id", "h", "n", *SIGNS, "keys"))
+    classes = scratch.keep(classes.select("cls", "doc_id", "h", "n", "fp", *SIGNS, "keys"))
     signs = classes.select("cls", "n", *SIGNS)
     placed = classes.select("cls", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
@@ -223,7 +242,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str, text: str)
         return pairs.join(signs.select(F.col("cls").alias(side), *[F.col(c).alias(f"{mark}{c}") for c in ("n", *SIGNS)]), side)
 
     star = placed.select("cls", F.explode(F.array("low", "high")).alias("to")).filter("cls <> to")
-    star = star.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
+    star = star.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).union(trie_pairs(classes.select("cls", "fp"), scratch)).distinct()
     star = with_signs(with_signs(star, "a", "x"), "b", "y").select("a", "b", "xn", "yn", *[f"{m}{c}" for m in "xy" for c in SIGNS])
     star = scratch.keep(star.mapInArrow(_near_ends, "a long, b long"))
 
@@ -257,7 +276,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str, text: str)
         roots = joined(roots, links(rest))
     named = scratch.keep(classes.select("cls", "doc_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return prints.select("doc_id", "cls").join(named.join(least, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+    return prints.select("doc_id", "h", "cls").join(named.join(least, "root").select("cls", "component_id"), "cls").select("doc_id", "h", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,10 @@ import pyarrow as pa
 
 import corpus_pipeline
 from millrace.llm import neardup
+from millrace.llm.common import Scratch
+from millrace.llm.components import connected_components
+
+from .test_simhash import MASK, brute_components
 
 LETTERS = "abcdefghij"
 
@@ -64,6 +68,41 @@ def test_stage_drops_every_near_copy(spark, tmp_path):
     assert found == want
 
 
+def test_links_come_through_the_trie(spark, tmp_path, monkeypatch):
+    import xxhash
+
+    docs = [d for d in corpus(random.Random(4)) if shingles(d[1])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs]), pa.array([0] * len(docs))], names=["doc_id", "text", "h"])
+    (signs,) = neardup._signatures(iter([batch]))
+    want = {}
+    for (_, t), cls, fp in zip(docs, signs.column("cls").to_pylist(), signs.column("fp").to_pylist(), strict=True):
+        words = t.encode().lower().split()
+        k = min(5, len(words))
+        h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)]
+        assert fp & MASK == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        want.setdefault(cls, fp & MASK)
+    df = spark.createDataFrame(sorted((c, f - (1 << 64) if f >> 63 else f) for c, f in want.items()), "cls long, fp long")
+    with Scratch(spark) as scratch:
+        got = {r.node: r.root for r in connected_components(neardup.trie_pairs(df, scratch), "a", "b").collect()}
+    root = brute_components(want)
+    assert {c: got.get(c, c) for c in want} == root and len(set(root.values())) < len(want)
+    seen, trie = [], neardup.hamming_forest
+    monkeypatch.setattr(neardup, "hamming_forest", lambda *a: seen.append(a[2]) or trie(*a))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).count() == len(set(brute(docs).values()))
+    assert seen == [3]
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    base, other = [" ".join(f"{w}{k}" for k in range(60)) for w in "ab"]
+    near = base.replace("a59", "changed")
+    # 3 has a text of its own and a near copy of 1; 5 has two near copies of each other
+    docs = [(1, base), (3, near), (3, "its own words are here and nowhere else"), (5, other), (5, other + " more"), (9, other)]
+    df = spark.createDataFrame(docs + docs[2:3], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect())
+    assert got[:2] == [docs[0], docs[2]] and got[2:] in ([docs[3]], [docs[4]])
+
+
 def test_candidates_of_other_components_are_compared():
     # key 1: components 5, 5 and 9; key 2: one component; key 3: sizes too different
     batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2, 2, 3, 3]), pa.array([5, 5, 9, 5, 5, 5, 7]), pa.array([5, 6, 9, 5, 6, 5, 7]), pa.array([10, 10, 9, 10, 10, 10, 2]), *[pa.array([0] * 7)] * len(neardup.SIGNS)], names=["key", "root", "cls", "n", *neardup.SIGNS])
