@@ -63,6 +63,45 @@ def test_every_page_meets_its_host(spark, shard_tokens):
     assert got == {1: (f"{story}\n\nown", 20), 2: (story, 30), 3: ("no container but text", 9), 4: ("too", 10), 5: ("of its own", 0), 6: (shell, 0)}
 
 
+@pytest.mark.parametrize(("shard_tokens", "moved"), [(500_000, 0), (2_000, 1)])
+def test_texts_move_to_their_shard_once(spark, shard_tokens, moved):
+    import re
+    from pathlib import Path
+
+    def kept():
+        return sum(p.stat().st_size for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*"))
+
+    before, table = kept(), "/root/testdata/sf0.01/pages.parquet"
+    found = webtext.extract(spark.read.parquet(table), shard_tokens=shard_tokens)
+    texts = Path(table).stat().st_size
+    assert (kept() - before) / texts < 0.6
+    # the result reads the kept texts where they lie, and moves the names of shared strings at most
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange ", plan)) == moved
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_packed_pages_come_back():
+    pages = [(1, -5, (b"http://a/", b"\0\1", "caf\u00e9\nx".encode(), b"y")), (None, 7, (None, b"", b"", b"")), (3, 7, (b"", b"\2", b"", b"z" * 300_000))]
+    for some in (pages, pages[1:2]):
+        row = webtext._pack({("h", 2, 9): some}).to_pylist()[0]
+        assert [row[x] for x in ("host", "shard", "shards")] == ["h", 2, 9]
+        assert [(x["page_id"], x["key"], (x["url"], x["marks"], x["inside"], x["outside"])) for x in webtext._unpack(row)] == some
+
+
+def test_codes_of_short_names():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (1, 2**32), (5, 6), (1000, 1000), (3000, 2**20), (3000, 2**32)):
+        values = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert webtext._decoded(webtext._coded(values)).tolist() == values.tolist()
+    edges = np.array([0, 2**32 - 1], np.uint64)
+    assert webtext._decoded(webtext._coded(edges)).tolist() == edges.tolist()
+    for shards in (2, 15, 45, 1000, 10**6):
+        n, bits = webtext._slices(shards)
+        assert 0 < n <= shards and 26 <= bits <= 32
+    assert len(webtext._coded(np.unique(rng.integers(0, 2**28, 30_000, dtype=np.uint64)))) < 30_000 * 15.2 / 8
+
+
 def test_suffix_array_groups_equal_strings():
     rng = random.Random(3)
     for length in (1, 2, 3, 5, 8):
