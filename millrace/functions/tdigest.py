@@ -3,6 +3,9 @@
 A digest is ``struct<centroids: array<struct<mean: double, weight: double>>, min: double, max: double>``. Tasks digest
 their rows (per key) and emit partial digests; these are reduced in two rounds, the first over a bounded number of
 salted groups per key, so that no task gets one digest from every task of a large scan.
+
+Quantiles of a digest are approximate once it has merged values, from some tens of them on. Where the rows are at hand,
+``refined`` takes exact ones from them: the digest says about where they lie, two more passes find them.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from ..durable import settle
 from ..errors import Invalid
+from ..ordering import quoted
 
 DIGEST = T.StructType(
     [
@@ -29,6 +35,8 @@ DIGEST = T.StructType(
 )
 _SALTS = 32
 _HELD_KEYS = 4096
+_AROUND = 0.01
+_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -320,23 +328,88 @@ def _nulled(df: DataFrame, column: str, options: Options) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), nulls))
 
 
-def quantile(df: DataFrame, keys: Sequence[str], column: str, options: Options | None = None) -> DataFrame:
-    """``keys..., quantiles`` of a digest column."""
+def refined(digests: DataFrame, keys: Sequence[str], rows: DataFrame, column: str, options: Options | None = None) -> DataFrame:
+    """``digests`` (``keys..., digest``, one row per key) with ``quantiles`` of a numeric column of ``rows``, exactly what
+    digests that never merge two values would give.
+
+    The digest's values beside each quantile cut a key's rows into ranges. One pass counts them, which tells the ranges
+    of the wanted ranks; a second one counts the different values of these ranges only, and takes those at the ranks. A
+    digest that is far off makes for wide ranges, not for other results. Values of one range are sorted in one task.
+    """
     options = options or Options()
-    out = quantile_elementwise(digest_reduce(df, keys, column, options), "digest", "quantiles", options)
-    return _nulled(out.drop("digest"), "quantiles", options)
+    _numeric(rows.schema[column].dataType)
+    if not options.q:
+        return quantile_elementwise(digests, "digest", "quantiles", options)
+    cuts = sorted({min(max(q + by, 0.0), 1.0) for q in options.q for by in (-_AROUND, _AROUND)})
+    rough = quantile_elementwise(quantile_elementwise(digests, "digest", "quantiles", options), "digest", "__cuts", Options(q=tuple(cuts)))
+    held = settle(rough)  # every pass must see the same cuts, and a digest depends on the order of its parts
+    few = held.count() <= _BROADCAST_KEYS
+    own = [f"__k{i}" for i in range(len(keys))]
+
+    def meet(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+        """Join by the columns ``own``, null-safe, and ``names``."""
+        other = right
+        same = F.lit(True)
+        for n in [*own, *names]:
+            other = other.withColumnRenamed(n, f"{n}_")
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        return left.join(F.broadcast(other) if few else other, same, how).drop(*[f"{n}_" for n in [*own, *names]])
+
+    marked = [F.col(quoted(k)).alias(o) for k, o in zip(keys, own, strict=True)]
+    values = rows.select(*marked, F.col(quoted(column)).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    known = held.filter(F.col("__cuts").isNotNull()).select(*marked, "__cuts")
+    place = sum((F.coalesce(F.col("__cuts")[j] < F.col("__v"), F.lit(False)).cast("int") for j in range(len(cuts))), F.lit(0))
+    placed = meet(values, known, []).select(*own, place.alias("__range"), "__v")
+
+    by_key = Window.partitionBy(*own)
+    counted = placed.groupBy(*own, "__range").agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__total", F.sum("__n").over(by_key)).withColumn("__end", F.sum("__n").over(by_key.orderBy("__range")))
+    begin = F.col("__end") - F.col("__n")
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), r.alias("rank")) for i, q in enumerate(options.q) for r in _ranks(q, F.col("__total"))])
+    inside = F.transform(F.filter(ranks, lambda r: (r["rank"] > begin) & (r["rank"] <= F.col("__end"))), lambda r: F.struct(r["i"].alias("i"), (r["rank"] - begin).alias("rank")))
+    wanted = counted.select(*own, "__range", inside.alias("__ranks")).filter(F.size("__ranks") > 0)
+
+    different = meet(placed, wanted, ["__range"]).groupBy(*own, "__range", "__v").agg(F.count("*").alias("__n"), F.first("__ranks").alias("__ranks"))
+    different = different.withColumn("__end", F.sum("__n").over(Window.partitionBy(*own, "__range").orderBy("__v")))
+    hit = F.filter("__ranks", lambda r: (r["rank"] > F.col("__end") - F.col("__n")) & (r["rank"] <= F.col("__end")))
+    found = different.select(*own, "__v", F.explode(hit).alias("__r"))
+
+    def middle(i: int):
+        low, high = (f(F.when(F.col("__r.i") == i, F.col("__v"))) for f in (F.min, F.max))
+        return F.when(low < high, (low + high) / 2).otherwise(low)
+
+    exact = found.groupBy(*own).agg(F.array(*[middle(i) for i in range(len(options.q))]).alias("__exact"))
+    out = meet(held.select("*", *marked), exact, [], "left")
+    settled = F.transform("quantiles", lambda x, i: F.when(x.isNotNull(), F.get("__exact", i)))
+    return out.withColumn("quantiles", settled).drop("__cuts", "__exact", *own)
+
+
+def _ranks(q: float, total):
+    """The ranks, from 1 on, whose values' mean is a quantile of single values: one twice, or two neighbours."""
+    index = F.lit(q) * total
+    first = F.when(index <= 1, F.lit(1).cast("long")).when(index >= total - 1, total).otherwise(F.ceil(index))
+    between = (index > 1) & (index < total - 1) & (index == F.floor(index))
+    return first, F.when(between, first + 1).otherwise(first)
+
+
+def quantile(df: DataFrame, keys: Sequence[str], column: str, options: Options | None = None, of: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """``keys..., quantiles`` of a digest column; with ``of``, the rows and the column that were digested, exact ones."""
+    return _quantiles(digest_reduce(df, keys, column, options), keys, options or Options(), of)
+
+
+def tdigest(df: DataFrame, keys: Sequence[str], column: str, options: Options | None = None, exact: bool = False) -> DataFrame:
+    """``keys..., quantiles`` of a numeric column."""
+    return _quantiles(digest_map(df, keys, column, options), keys, options or Options(), (df, column) if exact else None)
 
 
-def tdigest(df: DataFrame, keys: Sequence[str], column: str, options: Options | None = None) -> DataFrame:
-    """``keys..., quantiles`` of a numeric column."""
-    options = options or Options()
-    out = quantile_elementwise(digest_map(df, keys, column, options), "digest", "quantiles", options)
+def _quantiles(digests: DataFrame, keys: Sequence[str], options: Options, of: tuple[DataFrame, str] | None) -> DataFrame:
+    out = refined(digests, keys, *of, options) if of else quantile_elementwise(digests, "digest", "quantiles", options)
     return _nulled(out.drop("digest"), "quantiles", options)
 
 
-def approximate_median(df: DataFrame, keys: Sequence[str], column: str, skip_nulls: bool = True, min_count: int = 0) -> DataFrame:
+def approximate_median(df: DataFrame, keys: Sequence[str], column: str, skip_nulls: bool = True, min_count: int = 0, exact: bool = False) -> DataFrame:
     """``keys..., median``."""
-    out = tdigest(df, keys, column, Options(skip_nulls=skip_nulls, min_count=min_count))
+    out = tdigest(df, keys, column, Options(skip_nulls=skip_nulls, min_count=min_count), exact)
     return out.select(*[F.col(f"`{k}`") for k in keys], F.col("quantiles")[0].alias("median"))
 
 

@@ -1,9 +1,13 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import Invalid
 from millrace.functions import tdigest as td
+from millrace.plans import queries
 
 K0 = td.Options(delta=5, scaler="K0")
 
@@ -84,3 +88,41 @@ def test_rank_error_of_many_partials(spark, scaler):
             assert abs((own <= v).mean() - q) < 0.01
     total = sum(c["weight"] for r in td.digest_map(df, ["k"], "v").collect() for c in r.digest["centroids"])
     assert total == len(x)
+
+
+def settled(x, q):
+    """A quantile of single values, by a digest's rule."""
+    x, at = sorted(x), q * len(x)
+    if at <= 1 or at >= len(x) - 1:
+        return x[0] if at <= 1 else x[-1]
+    return (x[int(at) - 1] + x[int(at)]) / 2 if at == int(at) else x[math.ceil(at) - 1]
+
+
+@pytest.mark.parametrize("name", ["tdigest_median"])
+def test_queries_of_larger_groups_are_exact(spark, tmp_path, name):
+    rng = random.Random(3)
+    nations = [[round(rng.uniform(-999, 9999), 2) for _ in range(n)] for n in (1, 2, 3, 40, 240, 241, 3000)] + [[5.5] * 700 + [7.25] * 700]
+    rows = [(i, v) for i, nation in enumerate(nations) for v in nation]
+    spark.createDataFrame([(k, i, v) for k, (i, v) in enumerate(rows)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    fields = ["median"] if name == "tdigest_median" else ["low", "quarter", "middle", "upper", "high"]
+    qs = [0.5] if name == "tdigest_median" else [0, 0.25, 0.5, 0.75, 1]
+    found = {r.s_nationkey: [r[f] for f in fields] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found == {i: [settled(nation, q) for q in qs] for i, nation in enumerate(nations)}
+
+
+def test_refined_by_any_digest(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), rng.gauss(0, 1), float(rng.randrange(3))])) for _ in range(6000)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    o = td.Options(q=(0.0, 0.001, 0.1, 0.5, 0.99, 1.0), min_count=10)
+    own = {k: [v for n, v in data if n == k and v is not None and not math.isnan(v)] for k in ("a", "b", None)}
+    want = {k: [settled(x, q) for q in o.q] for k, x in own.items()}
+    misplaced = df.withColumn("v", F.col("v") * 100 - 7)
+    for digests in (td.digest_map(df, ["k"], "v"), td.digest_map(misplaced, ["k"], "v", td.Options(delta=3))):
+        assert {r.k: r.quantiles for r in td.refined(digests, ["k"], df, "v", o).collect()} == want
+    everything = [v for x in own.values() for v in x]
+    assert td.tdigest(df, [], "v", o, exact=True).first()[0] == [settled(everything, q) for q in o.q]
+    assert td.tdigest(df, [], "v", td.Options(min_count=6001), exact=True).first()[0] == [None]
+    assert td.tdigest(df, [], "v", td.Options(skip_nulls=False), exact=True).first()[0] == [None]
+    assert td.approximate_median(df.filter("false"), [], "v", exact=True).first()[0] is None
+    assert td.tdigest(df, ["k"], "v", td.Options(q=()), exact=True).first().quantiles == []
