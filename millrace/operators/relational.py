@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..durable import settle
 from ..errors import Invalid
 from ..ordering import SEQ, OrderedFrame, Ordering, SortKey, quoted
 
@@ -68,9 +70,23 @@ def join(left: OrderedFrame, right: OrderedFrame, on: Sequence[str], how: str =
     return OrderedFrame.unordered(left.df.join(renamed, same, how).drop(*[f"__k{i}" for i in range(len(on))]))
 
 
-def theta_join(left: OrderedFrame, right: OrderedFrame, condition: Column | str, on: Sequence[str] = (), how: str = "inner", small_rows: int = 10_000) -> OrderedFrame:
-    """Rows that meet a condition, beside equality on ``on``, which the shuffle deals by. Without ``on`` every pair is
-    compared, so the right side must be counted to have at most ``small_rows`` rows and is broadcast; a larger one is refused."""
+#: Pairs of rows that a cell of a theta join compares, and rows of a side that it holds, at most.
+CELL_PAIRS = 1 << 25
+_CELL_ROWS = 1 << 20
+_MOST_TASKS = 100_000
+_BROADCAST_KEYS = 10_000
+_LEFT = ("left", "leftouter", "semi", "leftsemi", "anti", "leftanti")
+_RIGHT = ("right", "rightouter")
+
+
+def theta_join(left: OrderedFrame, right: OrderedFrame, condition: Column | str, on: Sequence[str] = (), how: str = "inner", small_rows: int = 10_000, cell_pairs: int = CELL_PAIRS) -> OrderedFrame:
+    """Rows that meet a condition, beside equality on ``on``. Without ``on`` every pair is compared, so the right side
+    must be counted to have at most ``small_rows`` rows and is broadcast; a larger one is refused.
+
+    The work is the number of pairs of equal keys, whatever the bytes, so the pairs are counted first and dealt: a key of
+    over ``cell_pairs`` becomes cells of a block of its left rows and a block of its right rows each, and tasks get about
+    one cell. An inner join splits both sides, a left (right) one, semi and anti joins only the side whose rows must see
+    all of the other, and a full one neither."""
     clash = (set(left.df.columns) & set(right.df.columns)) - set(on)
     if clash:
         raise Invalid(f"columns of both inputs: {sorted(clash)}")
@@ -79,18 +95,93 @@ def theta_join(left: OrderedFrame, right: OrderedFrame, condition: Column | str,
     if not on:
         if how not in ("inner", "left", "left_outer", "semi", "left_semi", "anti", "left_anti"):
             raise Invalid(f"a join without equality cannot be {how!r}")
-        if small.limit(small_rows + 1).count() > small_rows:
+        n = small.limit(small_rows + 1).count()
+        if n > small_rows:
             raise Invalid(f"a join without equality needs a right side of at most {small_rows} rows")
-        return OrderedFrame.unordered(left.df.join(F.broadcast(small), test, how))
+        rows = left.df
+        if n > 64:  # comparing a row costs more than moving it
+            tasks = min(-(-rows.count() * n // cell_pairs), _MOST_TASKS)
+            rows = rows.repartition(tasks) if tasks > 1 else rows
+        return OrderedFrame.unordered(rows.join(F.broadcast(small), test, how))
+    rows, small, dealt = _dealt(left.df, small, list(on), how, cell_pairs)
     renamed = small
     for i, k in enumerate(on):
         renamed = renamed.withColumnRenamed(k, f"__k{i}")
-        test = test & (F.col(quoted(k)) == F.col(f"__k{i}"))
-    out = left.df.join(renamed, test, how)
+        if not dealt:
+            test = test & (F.col(quoted(k)) == F.col(f"__k{i}"))
+    for c in dealt:  # the keys are among them; by any other equality Spark would deal anew
+        renamed = renamed.withColumnRenamed(c, f"{c}_")
+        test = test & (F.col(c) == F.col(f"{c}_"))
+    out = rows.join(renamed.hint("merge") if dealt else renamed, test, how)
     if how in ("right", "right_outer", "full", "outer", "full_outer"):
         for i, k in enumerate(on):
             out = out.withColumn(k, F.coalesce(F.col(quoted(k)), F.col(f"__k{i}")))
-    return OrderedFrame.unordered(out.drop(*[f"__k{i}" for i in range(len(on))]))
+    return OrderedFrame.unordered(out.drop(*[f"__k{i}" for i in range(len(on))], *dealt, *[f"{c}_" for c in dealt]))
+
+
+def _dealt(left: DataFrame, right: DataFrame, on: list[str], how: str, cell_pairs: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to tasks of about ``cell_pairs`` pairs by columns that are equal where rows meet, and the names of
+    these; the sides as they are and no names if there are no more pairs than that."""
+    both = [[f.dataType for f in df.select(*map(quoted, on)).schema] for df in (left, right)]
+    if any(x != y and not (isinstance(x, T.NumericType) and isinstance(y, T.NumericType)) for x, y in zip(*both, strict=True)):
+        return left, right, []  # equality of such types is Spark's to say
+    kind = how.lower().replace("_", "")
+    own = [f"__on{i}" for i in range(len(on))]
+    wider = left.select(*map(quoted, on)).union(right.select(*map(quoted, on))).schema.fields
+
+    def key(k: str, kind: T.DataType) -> Column:
+        c = F.col(quoted(k)).cast(kind)
+        return F.when(c == 0, F.lit("0")).otherwise(c.cast("string")) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else c  # both zeros are equal
+
+    def keyed(df: DataFrame) -> DataFrame:
+        if kind == "inner":
+            for k in on:
+                df = df.filter(F.col(quoted(k)).isNotNull())
+        return df.select("*", *[key(k, f.dataType).alias(o) for k, o, f in zip(on, own, wider, strict=True)])
+
+    left, right = keyed(left), keyed(right)
+    null = F.lit(False)
+    for o in own:
+        null = null | F.col(o).isNull()
+    ones, none = F.lit(1), F.lit(0)
+    sizes = left.select(*own, ones.alias("__l"), none.alias("__r")).union(right.select(*own, none, ones))
+    sizes = sizes.groupBy(*own).agg(*[F.sum(n).cast("double").alias(n) for n in ("__l", "__r")])
+    l, r, pairs = F.col("__l"), F.col("__r"), F.col("__pairs")
+    sizes = sizes.withColumn("__pairs", F.when(null, 0.0).otherwise(l * r))
+    share, side, whole = pairs / cell_pairs, float(cell_pairs) ** 0.5, F.lit(1.0)
+    if kind == "inner":  # square cells move the fewest rows
+        rows = F.greatest(F.when(r <= side, share).otherwise(l / side), l / _CELL_ROWS, whole)
+        columns = F.greatest(share / F.col("__rows"), r / _CELL_ROWS, whole)
+        sizes = sizes.filter(pairs > 0)
+    else:
+        rows = F.greatest(share, l / _CELL_ROWS, whole) if kind in _LEFT else whole
+        columns = F.greatest(share, r / _CELL_ROWS, whole) if kind in _RIGHT else whole
+    plan = sizes.withColumn("__rows", F.ceil(rows)).withColumn("__columns", F.ceil(columns))
+    cells = F.col("__rows") * F.col("__columns")
+    found = plan.agg(F.sum(pairs), F.sum(F.when(cells > 1, cells.cast("double")).otherwise(share)), F.sum(l + r), F.max(cells), F.sum(l * F.col("__columns")), F.sum(r * F.col("__rows"))).first()
+    n_pairs, n_cells, n_rows, most, moved_left, moved_right = (x or 0 for x in found)
+    if most <= 1 and n_pairs <= cell_pairs:
+        return left.drop(*own), right.drop(*own), []
+    plan = settle(plan.filter(cells > 1).select(*[F.col(o).alias(f"{o}_") for o in own], "__rows", "__columns"))
+    if plan.count() <= _BROADCAST_KEYS:
+        plan = F.broadcast(plan)
+    tasks = min(max(int(2 * n_cells) + 1, int(n_rows) // _CELL_ROWS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))), _MOST_TASKS)
+    same = F.lit(True)
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
+
+    def deal(df: DataFrame, mine: str, other: str, moved: float) -> DataFrame:
+        n, met = (F.coalesce(F.col(c), F.lit(1).cast("long")) for c in (mine, other))
+        placed = df.join(plan, same, "left").select(*df.columns, n.alias("__block"), met.alias("__met"))
+        if moved > _CELL_ROWS:  # a scan of few tasks would make all the copies in these
+            placed = placed.repartition(min(int(moved // _CELL_ROWS) + 1, _MOST_TASKS))
+        placed = placed.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__block")))
+        # a row must stay in its block when a task runs again; it goes to every block of the other side, unless its key is null
+        place = F.explode(F.when(null, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__met") - 1)))
+        return settle(placed).withColumn("__met", place).withColumnsRenamed({"__block": mine, "__met": other}).repartition(tasks, *dealt)
+
+    dealt = [*own, "__rows", "__columns"]
+    return deal(left, "__rows", "__columns", moved_left), deal(right, "__columns", "__rows", moved_right), dealt
 
 
 def analytic(frame: OrderedFrame, columns: dict[str, Column | str], keys: Sequence[str] = (), rows: tuple[int, int] | None = None) -> OrderedFrame:

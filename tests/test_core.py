@@ -352,6 +352,48 @@ def test_theta_join(spark):
         m.theta_join(left, right, "y > x")
 
 
+def test_theta_join_deals_pairs(spark):
+    rng = random.Random(11)
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    xs = [(key(), i, rng.randrange(50)) for i in range(900)] + [(7, 900, 1), (None, 901, None)]
+    ys = [(key(), i, rng.randrange(50)) for i in range(1100)] + [(8, 1100, 1), (2, 1101, None)]
+    left = OrderedFrame.unordered(spark.createDataFrame(xs, "k int, a int, x int").repartition(3))
+    right = OrderedFrame.unordered(spark.createDataFrame(ys, "k long, b int, y int").repartition(2))
+    pairs = [(k, a, b) for k, a, x in xs for j, b, y in ys if k is not None and k == j and None not in (x, y) and y < x]
+    lone_a, lone_b = [(k, a, None) for k, a, _ in xs if a not in {p[1] for p in pairs}], [(k, None, b) for k, b, _ in ys if b not in {p[2] for p in pairs}]
+    joined = lambda how: m.theta_join(left, right, "y < x", ["k"], how, cell_pairs=10_000)
+    found = lambda how: sorted(map(tuple, joined(how).df.select("k", "a", "b").collect()), key=repr)
+    assert found("inner") == sorted(pairs, key=repr)
+    assert found("left") == sorted(pairs + lone_a, key=repr)
+    assert found("right_outer") == sorted(pairs + lone_b, key=repr)
+    assert found("full") == sorted(pairs + lone_a + lone_b, key=repr)
+    assert sorted(r.a for r in joined("anti").df.collect()) == sorted(p[1] for p in lone_a)
+    assert sorted(r.a for r in joined("semi").df.collect()) == sorted({p[1] for p in pairs})
+    assert joined("inner").df.columns == ["k", "a", "x", "b", "y"]
+    for how in ("inner", "left", "right"):  # over half of the pairs are of one key
+        tasks = [r["count"] for r in joined(how).df.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) < len(pairs) / 4
+
+
+def test_theta_join_keys_of_any_type(spark):
+    fl = [0.0, -0.0, float("nan"), 1.5, None] * 40
+    left = OrderedFrame.unordered(spark.createDataFrame([(x, i) for i, x in enumerate(fl)], "k double, a int"))
+    right = OrderedFrame.unordered(spark.createDataFrame([(x, i) for i, x in enumerate(fl)], "k float, b int"))
+    plain, dealt = (sorted(map(tuple, m.theta_join(left, right, "b < a", ["k"], cell_pairs=c).df.select("a", "b").collect())) for c in (1 << 25, 100))
+    assert plain == dealt and len(plain) == 80 * 79 // 2 + 2 * (40 * 39 // 2)
+    same = OrderedFrame.unordered(spark.createDataFrame([("u", 1)] * 300, "k string, a int"))
+    other = OrderedFrame.unordered(spark.createDataFrame([("u", 2)] * 300, "k string, b int"))
+    tasks = [r["count"] for r in m.theta_join(same, other, "a < b", ["k"], cell_pairs=5_000).df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 90_000 and max(tasks) < 45_000  # rows that are equal in all columns
+
+
+def test_theta_join_without_keys_deals_pairs(spark):
+    left = OrderedFrame.unordered(spark.range(2000).select(F.col("id").alias("x")).coalesce(1))
+    right = OrderedFrame.unordered(spark.range(100).select(F.col("id").alias("y")))
+    tasks = [r["count"] for r in m.theta_join(left, right, "x >= y", cell_pairs=20_000).df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2000 * 100 - 99 * 100 // 2 and max(tasks) <= 25_000
+
+
 def test_groupings(spark):
     rows = [("a", "x", 1), ("a", None, 2), ("b", "x", 4)]
     f = OrderedFrame.unordered(spark.createDataFrame(rows, "p string, q string, v long"))
